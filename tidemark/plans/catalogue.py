@@ -1,11 +1,19 @@
-"""All registered queries of the core."""
+"""All registered queries of the core, each with the SQL that states its result where SQL can."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.plans import analytics, corrections, searching, texts
+
+MODULES = (texts, corrections, searching, analytics)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: f for m in MODULES for k, (f, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql for m in MODULES for k, (_, sql) in m.QUERIES.items() if sql}
