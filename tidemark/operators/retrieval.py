@@ -191,7 +191,7 @@ def tiered(phrases: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     parts = F.split(F.concat(F.lit(" "), F.col("text"), F.lit(" ")), F.concat(F.lit(r"\Q"), F.col("phrase"), F.lit(r"\E")))
     free = F.exists(
         F.sequence(F.lit(0), F.size(parts) - 2),
-        lambda i: ~F.element_at(parts, i + 1).rlike(r"[\p{L}\p{N}_]$") & ~F.element_at(parts, i + 2).rlike(r"^[\p{L}\p{N}_]"),
+        lambda i: ~F.element_at(parts, i + 1).rlike(r"[\p{L}\p{N}_]\z") & ~F.element_at(parts, i + 2).rlike(r"^[\p{L}\p{N}_]"),
     )
     exact = texts.withColumn("hit", F.when(F.size(parts) > 1, free).otherwise(F.lit(False))).select("qid", "key", "hit")
     scored = bm25(q.select("qid", F.col("phrase").alias("text")), docs, T.words(F.col("text"))).join(exact, ["qid", "key"])
