@@ -89,12 +89,11 @@ _LATIN = str.maketrans(_LATIN_SIGNS)
 _CYRILLIC = str.maketrans(_CYRILLIC_SIGNS)
 _ACCENTS = str.maketrans("àáâãäåçèéêëìíîïñòóôõöùúûüýÿё", "aaaaaaceeeeiiiinooooouuuuyyе")
 _MAYBE_SPELLED = re.compile(r"(?<=[ .\-_·])\w[ .\-_·]\w[ .\-_·]\w(?!\w)")
-_SPELLED = re.compile(r"(?<!\w)(?:[^\W_][ .\-_·]){3,}[^\W_](?!\w)")
+_SPELLED = re.compile(r"(?<!\w)[^\W_]([ .\-_·])[^\W_](?:\1[^\W_]){2,}(?!\w)")
 _LONG = re.compile(r"(\w)\1{2,}")
 _DISGUISE = re.compile(r"[0-9@$|*€](?:(?<=[^\W\d_].)|(?=[^\W\d_]))")
 _MIXED = re.compile(r"[a-z][а-яё]|[а-яё][a-z]")
 _TOKEN = re.compile(r"[\w@$!|*€]+")
-_SEP = re.compile(r"[ .\-_·]")
 _CYR = re.compile(r"[а-яё]")
 
 
@@ -162,11 +161,17 @@ def _disguised(word: str) -> tuple:
     return tuple(hit)
 
 
+def _joined(m: re.Match) -> str:
+    """A word spelled apart. Where blanks part the letters, the first may be a word of its own, so both readings are given."""
+    word = m.group().replace(m.group(1), "")
+    return f"{word} {word[1:]}" if m.group(1) == " " else word
+
+
 def cues(text: str) -> list[tuple[int, str, float]]:
     """(position, topic, weight) of all cues of a page in reading order."""
     plain = text.lower().replace("\n", " ").replace("’", "'")
     if _MAYBE_SPELLED.search(plain):
-        plain = _SPELLED.sub(lambda m: _SEP.sub("", m.group()), plain)
+        plain = _SPELLED.sub(_joined, plain)
     out: set[tuple[int, str, float]] = set()
     n, drawn = len(plain), False
     for end, (m, what) in _lexicon()[0].iter(plain):
