@@ -6,8 +6,9 @@ is then a candidate if every piece that lies wholly inside it, with the window t
 pieces depend on the line alone, so no repeated line is missed, and lines too short to hold one are candidates too. An
 exact count of documents for each candidate (site, line) decides, and repeated lines are cut.
 
-Only 64-bit keys are shuffled, never text. Distinct (site, key, document) rows are made before counting, so that a notice
-in every document of a huge site is pre-aggregated in each task and its group is one counter a task.
+Only keys are shuffled, never text: 64 bits for documents, sites and lines, 32 for pieces, where a collision can only add a
+candidate. Rows are partitioned by document once; distinct (site, key, document) rows are made inside that partitioning
+and counted with a map-side combine, so that a notice in every document of a huge site is one counter in each task.
 
 Defined results: null text, and text without a repeated line, come back unchanged; lines of blanks are never cases; chunks
 of unknown documents belong to no site and are left alone; repeated rows count once.
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.arrow import map_columns, map_rows, written
 
 MIN_DOCUMENTS, MIN_SHARE = 4, 0.3
-WINDOW, MASK = 6, 0x7
+WINDOW, MASK = 6, 0x1F  # a border after every 32nd character, on average
+#: Repeated pieces are broadcast up to this many rows (16 bytes each); beyond it they are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 _DROP = re.compile(r"[\d\s]+")
 _GEAR = np.random.default_rng(20240229).integers(1, 1 << 62, size=1 << 16, dtype=np.uint64)
 
@@ -38,6 +41,10 @@ def line_key(folded: str) -> int:
     return xxhash.xxh3_64_intdigest(folded.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def piece_key(piece: str) -> int:
+    return xxhash.xxh32_intdigest(piece.encode("utf-8", "surrogatepass")) - (1 << 31)
+
+
 def inner_pieces(lines: list[str]) -> list[list[int]]:
     """For each folded line the keys of its pieces: from one border of the rolling hash to the next, all within the line.
 
@@ -58,12 +65,12 @@ def inner_pieces(lines: list[str]) -> list[list[int]]:
     first = np.searchsorted(ends, np.asarray(starts) + WINDOW)
     last = np.searchsorted(ends, [s + len(x) for s, x in zip(starts, lines)], side="right")
     for i, (a, b) in enumerate(zip(first, last)):
-        out[i] = [line_key(joined[ends[k] : ends[k + 1]]) for k in range(a, b - 1)]
+        out[i] = [piece_key(joined[ends[k] : ends[k + 1]]) for k in range(a, b - 1)]
     return out
 
 
 def lines_of(chunks: DataFrame) -> DataFrame:
-    """(id, doc_id, text) -> (id, doc_id, line_no, line, pieces); lines of blanks are left out."""
+    """(id, doc_id, text) -> (id, doc, line_no, line, pieces); lines of blanks are left out."""
 
     def make():
         def each(ids, docs, texts):
@@ -82,33 +89,35 @@ def lines_of(chunks: DataFrame) -> DataFrame:
 
         return each
 
-    return map_columns(chunks.select("id", "doc_id", "text"), make, "id long, doc_id string, line_no int, line long, pieces array<long>")
+    cols = chunks.select("id", F.xxhash64("doc_id").alias("doc"), "text")
+    return map_columns(cols, make, "id long, doc long, line_no int, line long, pieces array<int>")
 
 
 def sites(documents: DataFrame) -> DataFrame:
-    """(doc_id, site), one row a document."""
-    return documents.filter("path is not null").select("doc_id", F.substring_index("path", "/", 1).alias("site")).dropDuplicates(["doc_id"])
+    """(doc, site), one row a document, both as keys."""
+    d = documents.filter("path is not null").select(F.xxhash64("doc_id").alias("doc"), F.xxhash64(F.substring_index("path", "/", 1)).alias("site"))
+    return d.dropDuplicates(["doc"])
 
 
-def _often(keys: DataFrame, totals: DataFrame, *by: str) -> DataFrame:
-    """Groups (site, ...) that stand in enough documents of their site. keys holds the columns ``by`` and doc_id."""
-    n = keys.distinct().groupBy(*by).agg(F.count("*").alias("n"))
-    return n.filter(F.col("n") >= MIN_DOCUMENTS).join(totals, "site").filter(F.col("n") >= MIN_SHARE * F.col("total")).select(*by, "n", "total")
+def _often(keys: DataFrame, totals: DataFrame, by: str) -> DataFrame:
+    """(site, by) groups that stand in enough documents of their site; the distinct rows need no shuffle where keys is partitioned by doc."""
+    n = keys.select("doc", "site", by).distinct().groupBy("site", by).agg(F.count("*").alias("n"))
+    return n.filter(F.col("n") >= MIN_DOCUMENTS).join(totals, "site").filter(F.col("n") >= MIN_SHARE * F.col("total")).select("site", by, "n", "total")
 
 
 def repeated_lines(chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """(id, doc_id, site, line_no, line, n, total): lines repeated within their site, with the documents that hold them."""
+    """(id, site, line_no, line, n, total): lines repeated within their site, with the documents that hold them."""
     place = sites(documents)
     totals = place.groupBy("site").agg(F.count("*").alias("total"))
-    lines = written(lines_of(chunks).join(place, "doc_id"), "lines")  # keys only
-    pieces = lines.select("site", "doc_id", F.explode("pieces").alias("piece"))
-    hot = _often(pieces, totals, "site", "piece").select("site", "piece", F.lit(1).alias("hot"))
-    distinct = lines.select("site", "line", F.array_distinct("pieces").alias("pieces")).dropDuplicates(["site", "line"])
-    holds = distinct.select("site", "line", F.explode("pieces").alias("piece")).join(hot, ["site", "piece"], "left")
-    cold = holds.filter("hot is null").select("site", "line").distinct()
-    candidates = lines.join(cold, ["site", "line"], "left_anti")
-    often = _often(candidates.select("site", "line", "doc_id"), totals, "site", "line")
-    return candidates.select("id", "doc_id", "site", "line_no", "line").distinct().join(often, ["site", "line"])
+    lines = lines_of(chunks).join(place, "doc")
+    hot = written(_often(lines.select("doc", "site", F.explode("pieces").alias("piece")), totals, "piece").select("site", "piece"), "pieces")
+    if hot.count() <= BROADCAST_ROWS:
+        hot = F.broadcast(hot)
+    holds = lines.select("doc", "site", "id", "line_no", "line", F.explode_outer("pieces").alias("piece")).join(hot.withColumn("hot", F.lit(True)), ["site", "piece"], "left")
+    whole = holds.groupBy("doc", "site", "id", "line_no", "line").agg(F.bool_and(F.col("piece").isNull() | F.coalesce("hot", F.lit(False))).alias("all_hot"))
+    candidates = whole.filter("all_hot").select("doc", "site", "id", "line_no", "line")
+    often = _often(candidates, totals, "line")
+    return candidates.select("site", "id", "line_no", "line").distinct().join(often, ["site", "line"])
 
 
 def without_repeats(chunks: DataFrame, documents: DataFrame) -> DataFrame:
