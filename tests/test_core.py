@@ -129,6 +129,10 @@ def test_bm25_equals_brute_force(spark):
         if s:
             want["a", k] = s
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    for k in (1, 2, 9):
+        best = sorted(want, key=lambda x: (-round(want[x], 6), x[1]))[:k]
+        assert sorted((r.qid, r.key) for r in retrieval.bm25_top_k(q, d, T.words(F.col("text")), k).collect()) == sorted(best)
+    assert retrieval.bm25_top_k(q.limit(0), d, T.words(F.col("text")), 3).count() == 0
 
 
 def test_cosine_blocks_ties_and_nulls(spark):

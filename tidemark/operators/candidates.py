@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.functions import text as T
 
@@ -153,51 +152,72 @@ def parse_changes(block: Column) -> Column:
 MISREAD = {"tbe": "the", "fhe": "the", "thc": "the", "witb": "with", "foir": "fair", "ond": "and", "anf": "auf", "trofz": "trotz", "dcr": "der", "lc": "le", "dcs": "des", "несмогря": "несмотря", "буpи": "бури"}
 
 
-def tokens(texts: DataFrame) -> DataFrame:
-    """(doc_id, text) -> (doc_id, idx, start, word, prev, prev_start): words between single blanks and line breaks.
+def _words(text: Column) -> Column:
+    return F.split(F.translate(text, "\n", " "), " ")
 
-    Offsets are running lengths over one window by document, which also gives the word before; later windows over
-    (doc_id, idx) reuse its partitioning.
-    """
-    w = Window.partitionBy("doc_id").orderBy("idx")
-    t = texts.select("doc_id", F.posexplode(F.split(F.translate("text", "\n", " "), " ")).alias("idx", "word"))
-    t = t.withColumn("start", (F.sum(F.length("word") + 1).over(w) - F.length("word") - 1).cast("int"))
-    return t.select("doc_id", "idx", "start", "word", F.lag("word").over(w).alias("prev"), F.lag("start").over(w).alias("prev_start"))
-
-
-def stage_misread(toks: DataFrame, table: dict[str, str] = MISREAD) -> DataFrame:
-    """Whole words of a fixed table."""
-    mapping = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    core = F.regexp_replace("word", f"[^{T.LETTER}]+$", "")
-    fixed = F.element_at(mapping, F.lower(core))
-    return toks.filter(F.lower(core).isin(*table)).select(
-        "doc_id", F.lit(1).alias("stage_ord"), F.col("idx").alias("seq"), "start", core.alias("before"), T.case_like(fixed, core).alias("after"), F.lit(1.0).alias("confidence"), F.lit("rule-misread").alias("category")
-    )
 
+def _core(word: Column) -> Column:
+    return F.regexp_replace(word, f"[^{T.LETTER}]+$", "")
+
+
+def stage_misread(word: Column, prev: Column) -> tuple[Column, Column, Column]:
+    """Whole words of a fixed table: (applies, before, after)."""
+    mapping = F.create_map(*[F.lit(x) for kv in MISREAD.items() for x in kv])
+    core = _core(word)
+    return F.lower(core).isin(*MISREAD), core, T.case_like(F.try_element_at(mapping, F.lower(core)), core)
+
+
+def stage_full_stops(word: Column, prev: Column) -> tuple[Column, Column, Column]:
+    """Two full stops where one is meant."""
+    return word.rlike(rf"[{T.LETTER}0-9]\.\.$"), word, F.left(word, F.length(word) - 1)
 
-def stage_punctuation(toks: DataFrame) -> DataFrame:
-    """Two full stops where one is meant, and a comma without a blank behind it."""
-    twice = toks.filter(F.col("word").rlike(rf"[{T.LETTER}0-9]\.\.$")).select(
-        "doc_id", F.lit(2).alias("stage_ord"), F.col("idx").alias("seq"), F.col("start"), F.col("word").alias("before"), F.expr("left(word, length(word) - 1)").alias("after"), F.lit(0.98).alias("confidence"), F.lit("rule-punctuation").alias("category")
-    )
-    comma = toks.filter(F.col("word").rlike(rf"^[{T.LETTER}]+,[{T.LETTER}]+$")).select(
-        "doc_id", F.lit(2).alias("stage_ord"), F.col("idx").alias("seq"), F.col("start"), F.col("word").alias("before"), F.regexp_replace("word", ",", ", ").alias("after"), F.lit(0.98).alias("confidence"), F.lit("rule-punctuation").alias("category")
-    )
-    return twice.unionByName(comma)
 
+def stage_commas(word: Column, prev: Column) -> tuple[Column, Column, Column]:
+    """A comma without a blank behind it."""
+    return word.rlike(rf"^[{T.LETTER}]+,[{T.LETTER}]+$"), word, F.replace(word, F.lit(","), F.lit(", "))
 
-def stage_repeats(toks: DataFrame) -> DataFrame:
+
+def stage_repeats(word: Column, prev: Column) -> tuple[Column, Column, Column]:
     """A word of four letters and more that stands twice in a row; the second, and the blank before it, go."""
-    bare = rf"^[{T.LETTER}]{{4,}}$"
-    hit = toks.filter(F.col("word").rlike(bare) & (F.lower("word") == F.lower("prev")))
-    return hit.select(
-        "doc_id", F.lit(3).alias("stage_ord"), F.col("idx").alias("seq"), F.col("prev_start").alias("start"), F.concat("prev", F.lit(" "), "word").alias("before"), F.col("prev").alias("after"), F.lit(0.9).alias("confidence"), F.lit("rule-repeat").alias("category")
-    )
+    return word.rlike(rf"^[{T.LETTER}]{{4,}}$") & (F.lower(word) == F.lower(prev)), F.concat(prev, F.lit(" "), word), prev
+
+
+#: Stages of one word and the word before it: order, category, confidence, whether the edit starts at the word before.
+WORD_STAGES = (
+    (1, "rule-misread", 1.0, False, stage_misread),
+    (2, "rule-punctuation", 0.98, False, stage_full_stops),
+    (2, "rule-punctuation", 0.98, False, stage_commas),
+    (3, "rule-repeat", 0.9, True, stage_repeats),
+)
+
+
+def word_candidates(texts: DataFrame) -> DataFrame:
+    """(doc_id, text) -> candidates of all word stages.
+
+    One narrow pass: words, neighbours and rules are looked at inside one array, only hits are exploded, and only for hits
+    is an offset summed up. No shuffle.
+    """
+    w = texts.select("doc_id", _words(F.col("text")).alias("w"))
+    any_rule = None
+    for *_, rule in WORD_STAGES:
+        test = lambda x, p, rule=rule: F.coalesce(rule(x, p)[0], F.lit(False))
+        any_rule = test if any_rule is None else (lambda x, p, a=any_rule, b=test: a(x, p) | b(x, p))
+    pairs = F.transform("w", lambda x, i: F.struct(i.alias("idx"), x.alias("word"), F.when(i > 0, F.try_element_at("w", i)).alias("prev")))
+    hits = w.select("doc_id", "w", F.explode(F.filter(pairs, lambda t: any_rule(t["word"], t["prev"]))).alias("t"))
+    start = F.col("t.idx") + F.aggregate(F.slice("w", F.lit(1), F.col("t.idx")), F.lit(0), lambda a, x: a + F.length(x))
+    word, prev = F.col("t.word"), F.col("t.prev")
+    made = []
+    for order, category, confidence, from_prev, rule in WORD_STAGES:
+        applies, before, after = rule(word, prev)
+        at = start - (F.length(prev) + 1) if from_prev else start
+        row = F.struct(
+            F.lit(order).alias("stage_ord"), F.col("t.idx").alias("seq"), at.cast("int").alias("start"), before.alias("before"), after.alias("after"), F.lit(confidence).alias("confidence"), F.lit(category).alias("category")
+        )
+        made.append(F.when(F.coalesce(applies, F.lit(False)), row))
+    return hits.select("doc_id", F.explode(F.array_compact(F.array(*made))).alias("c")).select("doc_id", "c.*")
 
 
 def correct(texts: DataFrame, cap: int = MAX_CHANGES) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_changes, corrected): all stages, vote, decision, application."""
-    toks = tokens(texts)
-    merged = merge(stage_misread(toks).unionByName(stage_punctuation(toks)).unionByName(stage_repeats(toks)))
-    d = decide(merged, texts, cap)
+    d = decide(merge(word_candidates(texts)), texts, cap)
     return d.select("doc_id", F.size("edits").alias("n_changes"), apply_edits(F.col("text"), F.col("edits")).alias("corrected"))

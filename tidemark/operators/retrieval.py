@@ -60,6 +60,101 @@ def bm25(queries: DataFrame, docs: DataFrame, tokens: Column, k: int | None = No
     return top_k(scores, k) if k else scores
 
 
+def bm25_top_k(queries: DataFrame, docs: DataFrame, tokens: Column, k: int, digits: int = 6, per_word: bool = False) -> DataFrame:
+    """The best k documents of each query by rounded BM25 score, ties by key; per_word: by the score for the length of the document.
+
+    The query set meets the corpus in blocks of queries whose weight matrix is held to QUERY_BLOCK_BYTES: every document is
+    read once for each block, its scores against all queries of the block are one sparse product, and a task keeps its best k
+    for each query. So the shuffle holds k rows for each query and task, however large the corpus, where a join of postings
+    would shuffle a row for each query and document. Document frequencies are taken over all documents beforehand.
+    """
+    counts: dict = {}
+    for qid, terms in queries.select("qid", tokens.alias("terms")).toLocalIterator():
+        c: dict = {}
+        for t in terms or ():
+            c[t] = c.get(t, 0) + 1
+        if c:
+            counts[qid] = c
+    stats = docs.agg(F.count("*").alias("n"), F.avg(F.coalesce(F.size(tokens), F.lit(0)).cast("double")).alias("avgdl")).first()
+    out = None
+    for block in _query_blocks(counts):
+        got = _bm25_scan(docs, tokens, block, stats.n, stats.avgdl or 1.0, k, digits, per_word)
+        out = got if out is None else out.unionByName(got)
+    if out is None:
+        kinds = dict(queries.dtypes)["qid"], dict(docs.dtypes)["key"]
+        return docs.sparkSession.createDataFrame([], f"qid {kinds[0]}, key {kinds[1]}, score double")
+    return top_k(out, k)
+
+
+def _query_blocks(counts: dict) -> Iterator[list[tuple[object, dict]]]:
+    block: list[tuple[object, dict]] = []
+    terms: set = set()
+    for qid, c in counts.items():
+        if block and (len(block) + 1) * len(terms | c.keys()) * 8 > QUERY_BLOCK_BYTES:
+            yield block
+            block, terms = [], set()
+        block.append((qid, c))
+        terms |= c.keys()
+    if block:
+        yield block
+
+
+def _bm25_scan(docs: DataFrame, tokens: Column, block: list[tuple[object, dict]], n: int, avgdl: float, k: int, digits: int, per_word: bool) -> DataFrame:
+    vocabulary = {t: i for i, t in enumerate(sorted({t for _, c in block for t in c}))}
+    spark = docs.sparkSession
+    words = spark.createDataFrame([(t,) for t in vocabulary], "term string")
+    held = docs.select(F.explode(F.array_distinct(tokens)).alias("term")).join(words, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    weight = np.zeros((len(vocabulary), len(block)))
+    for term, df in held.collect():  # at most the words of the block
+        idf = np.log((n - df + 0.5) / (df + 0.5) + 1.0)
+        for q, (_, c) in enumerate(block):
+            if term in c:
+                weight[vocabulary[term], q] = idf * c[term]
+    names = [qid for qid, _ in block]
+    kinds = dict(docs.dtypes)["key"]
+    qkind = "string" if isinstance(names[0], str) else "long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best_s, best_k = np.full((len(names), 0), -np.inf), np.empty((len(names), 0), dtype=object)
+        get = vocabulary.get
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                keys = np.asarray(part.column(0).to_pylist(), dtype=object)
+                tf = np.zeros((len(keys), len(vocabulary)))
+                dl = np.zeros(len(keys))
+                for r, terms in enumerate(part.column(1).to_pylist()):
+                    dl[r] = len(terms or ())
+                    row = tf[r]
+                    for t in terms or ():
+                        at = get(t)
+                        if at is not None:
+                            row[at] += 1.0
+                d, t = np.nonzero(tf)
+                f = tf[d, t]
+                tf[d, t] = f * (K1 + 1.0) / (f + K1 * (1.0 - B + B * dl[d] / avgdl))
+                s = (tf @ weight).T
+                if per_word:
+                    s = s / np.where(dl == 0, 1.0, dl)
+                s = np.round(s, digits)
+                s[s <= 0] = -np.inf
+                s, kk = np.hstack([best_s, s]), np.hstack([best_k, np.broadcast_to(keys, s.shape)])
+                if s.shape[1] > k:
+                    edge = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+                    keep_s, keep_k = np.full((len(names), k), -np.inf), np.empty((len(names), k), dtype=object)
+                    for q in range(len(names)):
+                        own = np.flatnonzero((s[q] >= edge[q]) & np.isfinite(s[q]))
+                        own = sorted(own, key=lambda c: (-s[q, c], kk[q, c]))[:k]
+                        keep_s[q, : len(own)], keep_k[q, : len(own)] = s[q, own], kk[q, own]
+                    s, kk = keep_s, keep_k
+                best_s, best_k = s, kk
+        q, c = np.nonzero(np.isfinite(best_s))
+        if len(q):
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in q]), pa.array(best_k[q, c].tolist()), pa.array(best_s[q, c])], names=["qid", "key", "score"])
+
+    return docs.select("key", tokens.alias("terms")).mapInArrow(run, f"qid {qkind}, key {kinds}, score double")
+
+
 def top_k(scores: DataFrame, k: int, rank: str | None = None) -> DataFrame:
     """The best k keys of each query by (score, key); Spark pre-ranks in each task before the shuffle."""
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "key")
@@ -184,17 +279,21 @@ def tiered(phrases: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     words, so that no phrase meets a document without them.
     """
     q = phrases.select("qid", F.lower("phrase").alias("phrase"), T.words(F.col("phrase")).alias("tokens")).filter(F.size("tokens") > 0)
-    terms = q.select("qid", "phrase", F.size(F.array_distinct("tokens")).alias("n"), F.explode(F.array_distinct("tokens")).alias("term"))
-    index = postings(docs, T.words(F.col("text")))
-    all_terms = terms.join(index, "term").groupBy("qid", "phrase", "n", "key").agg(F.count("*").alias("m")).filter("m = n").select("qid", "phrase", "key")
-    texts = all_terms.join(docs.select("key", F.lower("text").alias("text")), "key")
+    terms = q.select("qid", "phrase", F.size(F.array_distinct("tokens")).alias("n"), F.explode("tokens").alias("term")).groupBy("qid", "phrase", "n", "term").agg(F.count("*").alias("qf"))
+    tokens = T.words(F.col("text"))
+    stats = collection(docs, tokens)
+    index = postings(docs, tokens).join(terms.select("term").distinct(), "term", "left_semi")
+    tf, avgdl = F.col("tf").cast("double"), stats.select("avgdl").scalar()
+    part = F.col("qf") * F.col("idf") * tf * (K1 + 1.0) / (tf + K1 * (F.lit(1.0 - B) + B * F.col("dl") / avgdl))
+    # Documents with all words, and their score, in one aggregation.
+    every = terms.join(index, "term").join(idf(index, stats), "term").groupBy("qid", "phrase", "n", "key").agg(F.count("*").alias("m"), F.sum(part).alias("score")).filter("m = n")
+    texts = every.join(docs.select("key", F.lower("text").alias("text")), "key")
     parts = F.split(F.concat(F.lit(" "), F.col("text"), F.lit(" ")), F.concat(F.lit(r"\Q"), F.col("phrase"), F.lit(r"\E")))
     free = F.exists(
         F.sequence(F.lit(0), F.size(parts) - 2),
         lambda i: ~F.element_at(parts, i + 1).rlike(r"[\p{L}\p{N}_]\z") & ~F.element_at(parts, i + 2).rlike(r"^[\p{L}\p{N}_]"),
     )
-    exact = texts.withColumn("hit", F.when(F.size(parts) > 1, free).otherwise(F.lit(False))).select("qid", "key", "hit")
-    scored = bm25(q.select("qid", F.col("phrase").alias("text")), docs, T.words(F.col("text"))).join(exact, ["qid", "key"])
+    scored = texts.withColumn("hit", F.when(F.size(parts) > 1, free).otherwise(F.lit(False))).select("qid", "key", "score", "hit")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", 6)), "key"))
     ranked = scored.withColumn("rank", rank).select(
         "qid",

@@ -69,8 +69,7 @@ def correct_documents(spark, d):
 
 @QUERIES.add(_STAGES + " select doc_id, cast(start as integer) as start, before, after, confidence, category from voted")
 def merge_votes(spark, d):
-    toks = C.tokens(_pages(spark, d))
-    m = C.merge(C.stage_misread(toks).unionByName(C.stage_punctuation(toks)).unionByName(C.stage_repeats(toks)))
+    m = C.merge(C.word_candidates(_pages(spark, d)))
     return m.select("doc_id", "start", "before", "after", "confidence", "category")
 
 

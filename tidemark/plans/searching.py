@@ -48,7 +48,7 @@ def bm25_idf(spark, d):
 
 @QUERIES.add(_BM25 + " select qid, key, cast(rank as integer) as rank, round(score, 6) as score from ranked where rank <= 5")
 def bm25_topk(spark, d):
-    s = retrieval.bm25(_asked(spark, d), _docs(spark, d), T.words(F.col("text"))).withColumn("score", F.round("score", 6))
+    s = retrieval.bm25_top_k(_asked(spark, d), _docs(spark, d), T.words(F.col("text")), 5)
     return retrieval.top_k(s, 5, "rank")
 
 
@@ -113,10 +113,9 @@ def chunk_vector_topk(spark, d):
 )
 def rrf_fusion(spark, d):
     """BM25 fused with BM25 for the length of the page."""
-    s = retrieval.bm25(_asked(spark, d), _docs(spark, d), T.words(F.col("text")))
-    dl = _docs(spark, d).select("key", F.size(T.words(F.col("text"))).alias("dl"))
-    a = s.withColumn("score", F.round("score", 6))
-    b = s.join(dl, "key").select("qid", "key", F.round(F.col("score") / F.col("dl"), 9).alias("score"))
+    asked, docs, tokens = _asked(spark, d), _docs(spark, d), T.words(F.col("text"))
+    a = retrieval.bm25_top_k(asked, docs, tokens, 20)
+    b = retrieval.bm25_top_k(asked, docs, tokens, 20, digits=9, per_word=True)
     pool = lambda x: retrieval.top_k(x, 20, "r").select("qid", "key", (F.lit(1.0) / (retrieval.RRF_K + F.col("r"))).alias("score"))
     f = pool(a).unionByName(pool(b)).groupBy("qid", "key").agg(F.round(F.sum("score"), 9).alias("score"))
     return retrieval.top_k(f, 5)
