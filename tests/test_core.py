@@ -251,6 +251,15 @@ def test_lexicon(spark):
     assert rows(lexicon.inflect(form, lx, {"case": "gent", "number": "sing", "gender": "femn"})) == [("складскый", "складской")]
 
 
+def test_noun_phrase_unification(spark):
+    lx = lexicon.fixture(spark)
+    t = spark.createDataFrame(
+        [(1, "новая складская дежурной служба ушла"), (2, "складской дежурный служба"), (3, "складская дежурная служба"), (4, "складской дежурной смотровая службой"), (5, None), (6, "складская, дежурной служба")],
+        "doc_id long, text string",
+    )
+    assert [(r.doc_id, r.before, r.after) for r in lexicon.unify(t, lx).collect()] == [(1, "дежурной", "дежурная"), (4, "смотровая", "смотровой")]
+
+
 def test_audit(spark, tmp_path):
     r = spark.createDataFrame([("2024-01-01 10:00:00", "т" * 300, "к", None, 5, 1), ("2024-03-01 10:00:00", "", None, "e" * 600, 7, 0)], "ts string, text string, context string, error string, duration_ms int, changes_count int")
     a = audit.record(r.withColumn("ts", F.col("ts").cast("timestamp")))

@@ -83,6 +83,40 @@ def inflect(forms: DataFrame, lexicon: DataFrame, target: dict[str, str]) -> Dat
     return got.groupBy("form").agg(F.countDistinct("inflected").alias("n"), F.min("inflected").alias("inflected")).filter("n = 1").drop("n")
 
 
+def unify(texts: DataFrame, lexicon: DataFrame, most: int = 4) -> DataFrame:
+    """(doc_id, text) -> (doc_id, idx, before, after): the one word of a noun phrase that does not fit, and its fitting form.
+
+    A phrase is a noun and the chain of at most ``most`` adjectives directly before it, parted by single blanks. Every
+    (case, number, gender) that a reading of its words offers is supported by the words that can take it; if one key leads
+    alone and exactly one word lacks it, that word is inflected, where one form alone has the key. Ties change nothing.
+    Phrases are islands of one window by document; readings meet words by an equi-join on the form.
+    """
+    parts = F.regexp_extract_all(F.lower("text"), F.lit(f"[{T.LETTER}]+|[^{T.LETTER}]+"), F.lit(0))
+    t = texts.select("doc_id", F.posexplode(parts).alias("idx", "form"))
+    kinds = lexicon.groupBy("form").agg(F.bool_or(F.col("pos") == "NOUN").alias("noun"), F.bool_or(F.col("pos") == "ADJ").alias("adj"))
+    t = t.join(kinds, "form", "left").withColumn("gap", F.col("form") == " ")
+    w = Window.partitionBy("doc_id").orderBy("idx")
+    inside = F.coalesce(F.col("adj"), F.lit(False)) | F.col("gap")
+    # A phrase ends behind its noun; a word that is neither adjective nor blank parts phrases.
+    t = t.withColumn("cut", F.lag(~inside, 1, True).over(w)).withColumn("np", F.sum(F.col("cut").cast("int")).over(w))
+    words = t.filter(~F.col("gap") & (F.coalesce("adj", F.lit(False)) | F.coalesce("noun", F.lit(False)))).select("doc_id", "np", "idx", "form", "noun")
+    shape = words.groupBy("doc_id", "np").agg(F.count("*").alias("n"), F.max_by("noun", "idx").alias("headed"))
+    words = words.join(shape.filter(f"headed and n between 3 and {most + 1}"), ["doc_id", "np"])
+    readings = lexicon.select("form", "lexeme_id", "pos", F.col("case").alias("c"), F.col("number").alias("m"), F.when(F.col("number") != "plur", F.col("gender")).alias("g"))
+    keyed = words.join(readings, "form").filter("c is not null and m is not null").select("doc_id", "np", "idx", "n", "c", "m", "g").distinct()
+    votes = keyed.groupBy("doc_id", "np", "n", "c", "m", "g").agg(F.count("*").alias("support"))
+    lead = Window.partitionBy("doc_id", "np")
+    votes = votes.withColumn("best", F.max("support").over(lead)).filter("support = best").withColumn("leaders", F.count("*").over(lead)).filter("leaders = 1 and support = n - 1")
+    odd = words.drop("n").join(votes.select("doc_id", "np", "c", "m", "g"), ["doc_id", "np"])
+    same = keyed.select("doc_id", "np", "idx", "c", "m", F.coalesce("g", F.lit("-")).alias("gg"))
+    odd = odd.withColumn("gg", F.coalesce("g", F.lit("-"))).join(same, ["doc_id", "np", "idx", "c", "m", "gg"], "left_anti")
+    src = lexicon.select("form", "lexeme_id").distinct()
+    dst = readings.select("lexeme_id", F.col("form").alias("after"), "c", "m", F.coalesce("g", F.lit("-")).alias("gg")).distinct()
+    got = odd.select("doc_id", "idx", "form", "c", "m", "gg").join(src, "form").join(dst, ["lexeme_id", "c", "m", "gg"]).filter("form <> after")
+    g = got.groupBy("doc_id", "idx", F.col("form").alias("before")).agg(F.countDistinct("after").alias("k"), F.min("after").alias("after"))
+    return g.filter("k = 1").select("doc_id", "idx", "before", "after")
+
+
 # ---- spell-check ---------------------------------------------------------------------------------------------------------
 
 

@@ -284,3 +284,10 @@ def inflect_unique(spark, d):
     lx = lexicon.fixture(spark)
     wanted = lx.filter("pos = 'ADJ' and `case` = 'nomn' and number = 'sing' and gender = 'masc'").select("form").distinct()
     return lexicon.inflect(wanted, lx, {"case": "gent", "number": "sing", "gender": "femn"})
+
+
+@QUERIES.add(None)
+def noun_phrase_unification(spark, d):
+    """Noun phrases of the lexicon with exactly one word that does not fit, over the chunks."""
+    t = table(spark, d, "rag_chunks").select(F.col("id").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    return lexicon.unify(t, lexicon.fixture(spark))
