@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from tidemark.llm.arrow import map_rows
 from tidemark.llm.prose import PROSE
 
-#: Bytes that a chain must save beyond its result: the cost of naming it. A second step pays it again.
-CHAIN_COST = 3
+#: Bytes that a chain must save beyond its result: the cost of naming it, and what each further step costs more.
+CHAIN_COST, FURTHER_COST = 2, 4
 DICT_BYTES = 6000
 MAX_STEPS = 3
 WRONG = ("western", "cp1251", "koi8_r", "cp866", "mac_cyrillic")
@@ -75,7 +75,7 @@ _SINGLE = tuple(
         ("cp1251", "cp866", r"[\xa0ЎўЈ¤Ґ¦§Ё©Є¬\xad®ЇЂЃЉ-Џ]", r".*(?:[\xa0ЎўЈ¤Ґ¦§Ё©Є«¬\xad®Ї][а-пҐЎўЄ\xa0ЈЁ©«¬\xad®Ї¤¦§]|[а-п][ЎўЈ¤Ґ¦§©Є¬\xad®Ї]|[ЂЃЉ-Џ][а-пЎўЈ¤Ґ¦§©Є¬\xad®Ї]).*", r"[^р-яА-ЯA-Za-z]*"),
         ("cp1251", "koi8_r", r"[А-ЯЁ][А-ЯЁ╦Јі]{2}|[а-яё][А-ЯЁ]{2}", _CAPS, r"[^а-яёa-z]*|[а-яё]"),
         ("koi8_r", "cp1251", r"[А-ЯЁ][А-ЯЁ╦Јі]{2}|[а-яё][А-ЯЁ]{2}", _CAPS, r"[^а-яёa-z]*|[а-яё]"),
-        ("mac_cyrillic", "cp1251", r"[€ЄќћџўљњЂЃ]|[—“”„][а-я]{3}", r".*(?:[а-я]€|€[а-я]|[а-я]Є[а-я]|[ќћџўљњ][а-яЄ]|[—“”„][а-я]{2,}).*|[ќ€]", r"[^А-ЯяA-Za-z]*"),
+        ("mac_cyrillic", "cp1251", r"[€ЄќћџўљњЂЃ]|[—“”„][а-я]{3}", r".*(?:[а-я]€|€[а-я]|[а-я]Є[а-я]|[ќћџўљњ][а-яЄ]|[—“”„][а-я]{2,}).*|[ќ€]", r"[^А-ЯяёA-Za-z]*"),
         ("cp1251", "mac_cyrillic", r"[а-ю]Я|[ЂЃЉ-Џђ€][а-ю]", r".*(?:[а-ю]Я[а-ю]|[ЂЃЉ-Џ‚ѓ„…†‡‰‹ђ‘’“”•–—™љ›њќћџ€][а-ю]{2}|[а-ю]{2,}Я\b).*", r"[^А-ЮяA-Za-z]*"),
     )
 )
@@ -181,6 +181,10 @@ def _tokens(text: str) -> list[str]:
     return re.split(r"([ \n/_\-]+)", text)
 
 
+def _better_left(token: str, wrong: str, right: str, strong: re.Pattern) -> bool:
+    return token.isascii() or not strong.fullmatch(token) and length(token) < length(_recode(token, wrong, right))
+
+
 def _by_token(text: str, wrong: str, right: str, strong: re.Pattern, weak: re.Pattern) -> list[tuple[int, int, str, str]]:
     """Maximal runs of tokens that the confusion explains, as (first, past last, before, after) over _tokens(text)."""
     parts, out, i = _tokens(text), [], 0
@@ -196,9 +200,10 @@ def _by_token(text: str, wrong: str, right: str, strong: re.Pattern, weak: re.Pa
             b += 2
         while a >= 2 and parts[a - 2] and "\n" not in parts[a - 1] and weak.fullmatch(parts[a - 2]) and _recode(parts[a - 2], wrong, right) is not None:
             a -= 2
-        while b > i and parts[b].isascii():
+        # Tokens at the ends that read better as they are do not belong to the run.
+        while b > i and _better_left(parts[b], wrong, right, strong):
             b -= 2
-        while a < i and parts[a].isascii():
+        while a < i and _better_left(parts[a], wrong, right, strong):
             a += 2
         before = "".join(parts[a : b + 1])
         after = _recode(before, wrong, right)
@@ -210,13 +215,13 @@ def _by_token(text: str, wrong: str, right: str, strong: re.Pattern, weak: re.Pa
     return out
 
 
-def _step(text: str) -> tuple[str, float] | None:
+def _step(text: str, cost: float) -> tuple[str, float] | None:
     """The best single decoding of a text and the bytes it saves, or None."""
     best: tuple[str, float] | None = None
     for wrong in WRONG:
         got = _by_utf8(text, wrong)
         if got:
-            saved = length(got[1]) - length(got[2]) - CHAIN_COST
+            saved = length(got[1]) - length(got[2]) - cost
             # Well-formed multi-byte sequences are proof in themselves; each also saves the bytes of its characters.
             saved += len(got[1]) - len(got[2])
             if saved > 0 and (best is None or saved > best[1]):
@@ -225,7 +230,7 @@ def _step(text: str) -> tuple[str, float] | None:
         if not gate.search(text):
             continue
         runs = [(a, b, x, y, s) for a, b, x, y in _by_token(text, wrong, right, strong, weak) if (s := length(x) - length(y)) > 0]
-        saved = sum(r[4] for r in runs) - CHAIN_COST
+        saved = sum(r[4] for r in runs) - cost
         if saved > 0 and (best is None or saved > best[1]):
             parts = _tokens(text)
             for a, b, _, y, _ in reversed(runs):
@@ -239,7 +244,7 @@ def repair(text: str | None) -> tuple[str | None, int, bool]:
     if not text or not _SUSPECT.search(text):
         return text, 0, False
     steps = 0
-    while steps < MAX_STEPS and (got := _step(text)):
+    while steps < MAX_STEPS and (got := _step(text, CHAIN_COST + FURTHER_COST * steps)):
         text = got[0]
         steps += 1
     return text, steps, steps > 0 or "�" in text
@@ -274,4 +279,4 @@ def restored(df: DataFrame) -> DataFrame:
 
 def is_garbled(text: str | None) -> bool:
     """Whether any part of a text is garbled; stops at the first chain that shortens it."""
-    return bool(text) and _SUSPECT.search(text) is not None and ("�" in text or _step(text) is not None)
+    return bool(text) and _SUSPECT.search(text) is not None and ("�" in text or _step(text, CHAIN_COST) is not None)
