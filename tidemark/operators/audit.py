@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators import prefix
+
 
 def record(requests: DataFrame, redact: bool = False) -> DataFrame:
     """requests (ts, text, context, error, ...) -> audit rows: lengths, hash, a snippet of 200, errors cut at 500.
@@ -63,9 +65,15 @@ def purge(spark, path: str, keep_from: str) -> list[str]:
 
 
 def trailing_mean(log: DataFrame, rows: int, key: str = "server") -> DataFrame:
-    """Mean duration over the last so many requests of each server, in order of (ts, id)."""
-    w = Window.partitionBy(key).orderBy("ts", "id").rowsBetween(1 - rows, 0)
-    return log.select("id", key, F.round(F.avg("duration_ms").over(w), 4).alias("trailing_ms"))
+    """Mean duration over the last so many requests of each server, in order of (ts, id).
+
+    There are few servers, so requests are numbered by two-level running counts over days and averaged in blocks with halos.
+    """
+    d = log.select("id", key, "ts", "duration_ms")
+    n = prefix.running(d, key, F.to_date("ts"), ["ts", "id"], F.lit(1), "n")
+    w = Window.partitionBy(key, "_block").orderBy("n").rowsBetween(1 - rows, 0)
+    got = prefix.trailing(n, key, "n", rows).withColumn("trailing_ms", F.round(F.avg("duration_ms").over(w), 4))
+    return got.filter("_own").select("id", key, "trailing_ms")
 
 
 def top_values(df: DataFrame, column: str, k: int) -> DataFrame:

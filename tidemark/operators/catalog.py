@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import prefix
+
 STATUSES = ("active", "disabled", "missing")
 
 
@@ -61,3 +63,10 @@ def declared_against_stored(documents: DataFrame, chunks: DataFrame) -> DataFram
     n = chunks.select("doc_id", "chunk_id").distinct().groupBy("doc_id").agg(F.count("*").alias("stored"))
     j = documents.select("doc_id", F.col("chunks").alias("declared")).join(n, "doc_id", "left").withColumn("stored", F.coalesce("stored", F.lit(0)))
     return j.filter(~F.col("declared").eqNullSafe(F.col("stored").cast("int")))
+
+
+def offsets(chunks: DataFrame) -> DataFrame:
+    """(doc_id, chunk_id, start, n): where each chunk begins in its document, put together with one line break between chunks."""
+    c = chunks.select("doc_id", "chunk_id", F.length("text").alias("n")).dropDuplicates(["doc_id", "chunk_id"]).filter("n is not null")
+    got = prefix.running(c, "doc_id", F.floor(F.col("chunk_id") / 256), ["chunk_id"], F.col("n") + 1, "start")
+    return got.select("doc_id", "chunk_id", "start", F.col("n").cast("long").alias("n"))

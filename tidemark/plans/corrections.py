@@ -88,17 +88,18 @@ def span_resolution(spark, d):
 
 
 @QUERIES.add(
-    """with e as (select user_id, event_id, cast(trunc(value) as integer) % 97 as s, cast(trunc(value) as integer) % 97 + 1 + event_id % 9 as e from events),
-    l as (select user_id, list(struct_pack(s := cast(s as integer), e := cast(e as integer), id := event_id) order by -(e - s), s, event_id) as c from e group by user_id),
-    p as (select user_id, list_reduce(list_transform(c, lambda y: [y]), lambda acc, x: case when len(acc) < 12 and len(list_filter(acc, lambda a: a.s < x[1].e and x[1].s < a.e)) = 0 then list_concat(acc, x) else acc end, c[1:0]) as got from l)
-    select user_id, cast(len(got) as integer) as chosen, list_sum(list_transform(got, lambda a: a.id))::bigint as ids from p"""
+    """with e as (select event_id // 200 as grp, event_id, cast(trunc(value) as integer) % 97 as s, cast(trunc(value) as integer) % 97 + 1 + event_id % 9 as e from events),
+    l as (select grp, list(struct_pack(s := cast(s as integer), e := cast(e as integer), id := event_id) order by -(e - s), s, event_id) as c from e group by grp),
+    p as (select grp, list_reduce(list_transform(c, lambda y: [y]), lambda acc, x: case when len(acc) < 12 and len(list_filter(acc, lambda a: a.s < x[1].e and x[1].s < a.e)) = 0 then list_concat(acc, x) else acc end, c[1:0]) as got from l)
+    select grp, cast(len(got) as integer) as chosen, list_sum(list_transform(got, lambda a: a.id))::bigint as ids from p"""
 )
 def decide_greedy(spark, d):
+    """The ordered fold over groups of at most 200 intervals, as a document has candidates."""
     s = F.col("value").cast("int") % 97
-    e = table(spark, d, "events").select("user_id", "event_id", s.alias("s"), (s + 1 + F.col("event_id") % 9).cast("int").alias("e"))
+    e = table(spark, d, "events").select(F.floor(F.col("event_id") / 200).alias("grp"), "event_id", s.alias("s"), (s + 1 + F.col("event_id") % 9).cast("int").alias("e"))
     key = F.struct((F.col("s") - F.col("e")).alias("o"), "s", F.col("event_id").alias("id"), "e")
-    c = e.groupBy("user_id").agg(F.array_sort(F.collect_list(key)).alias("c")).select("user_id", C.choose(F.col("c"), 12).alias("got"))
-    return c.select("user_id", F.size("got").alias("chosen"), F.aggregate("got", F.lit(0).cast("long"), lambda a, x: a + x["id"]).alias("ids"))
+    c = e.groupBy("grp").agg(F.array_sort(F.collect_list(key)).alias("c")).select("grp", C.choose(F.col("c"), 12).alias("got"))
+    return c.select("grp", F.size("got").alias("chosen"), F.aggregate("got", F.lit(0).cast("long"), lambda a, x: a + x["id"]).alias("ids"))
 
 
 @QUERIES.add(

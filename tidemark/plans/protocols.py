@@ -169,12 +169,12 @@ def word_label_join(spark, d):
 
 
 @QUERIES.add(
-    """with e as (select user_id as doc_id, event_id, cast(trunc(value) as integer) % 50 as s, cast(trunc(value) as integer) % 50 + 5 as e from events),
+    """with e as (select event_id // 200 as doc_id, event_id, cast(trunc(value) as integer) % 50 as s, cast(trunc(value) as integer) % 50 + 5 as e from events),
     l as (select doc_id, list(struct_pack(s := s, e := e, id := event_id) order by s, e, event_id) as c from e group by doc_id),
     p as (select doc_id, list_reduce(list_transform(c, lambda y: [y]), lambda a, x: case when len(a) = 0 or a[len(a)].e <= x[1].s then list_concat(a, x) else a end, c[1:0]) as got from l)
     select doc_id, unnest(list_transform(got, lambda x: x.id)) as event_id from p"""
 )
 def start_ordered_choice(spark, d):
     s = F.col("value").cast("int") % 50
-    e = table(spark, d, "events").select(F.col("user_id").alias("doc_id"), s.alias("s"), (s + 5).alias("e"), "event_id")
+    e = table(spark, d, "events").select(F.floor(F.col("event_id") / 200).alias("doc_id"), s.alias("s"), (s + 5).alias("e"), "event_id")
     return safety.by_start(e).select("doc_id", "event_id")
