@@ -7,8 +7,8 @@ pieces depend on the line alone, so no repeated line is missed, and lines too sh
 exact count of documents for each candidate (site, line) decides, and repeated lines are cut.
 
 Only keys are shuffled, never text: 64 bits for documents, sites and lines, 32 for pieces, where a collision can only add a
-candidate. Rows are partitioned by document once; distinct (site, key, document) rows are made inside that partitioning
-and counted with a map-side combine, so that a notice in every document of a huge site is one counter in each task.
+candidate. Lines meet their site by document and salt; distinct (site, key, document) rows are made, then counted with a
+map-side combine, so that neither a huge document nor a notice in every document of a huge site meets in one task.
 
 Defined results: null text, and text without a repeated line, come back unchanged; lines of blanks are never cases; chunks
 of unknown documents belong to no site and are left alone; repeated rows count once.
@@ -29,6 +29,8 @@ MIN_DOCUMENTS, MIN_SHARE = 4, 0.3
 WINDOW, MASK = 6, 0x1F  # a border after every 32nd character, on average
 #: Repeated pieces are broadcast up to this many rows (16 bytes each); beyond it they are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: One document that holds a third of all chunks is spread over so many partitions.
+SALTS = 16
 _DROP = re.compile(r"[\d\s]+")
 _GEAR = np.random.default_rng(20240229).integers(1, 1 << 62, size=1 << 16, dtype=np.uint64)
 
@@ -100,7 +102,7 @@ def sites(documents: DataFrame) -> DataFrame:
 
 
 def _often(keys: DataFrame, totals: DataFrame, by: str) -> DataFrame:
-    """(site, by) groups that stand in enough documents of their site; the distinct rows need no shuffle where keys is partitioned by doc."""
+    """(site, by) groups that stand in enough documents of their site; documents are made distinct before they are counted."""
     n = keys.select("doc", "site", by).distinct().groupBy("site", by).agg(F.count("*").alias("n"))
     return n.filter(F.col("n") >= MIN_DOCUMENTS).join(totals, "site").filter(F.col("n") >= MIN_SHARE * F.col("total")).select("site", by, "n", "total")
 
@@ -109,12 +111,13 @@ def repeated_lines(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """(id, site, line_no, line, n, total): lines repeated within their site, with the documents that hold them."""
     place = sites(documents)
     totals = place.groupBy("site").agg(F.count("*").alias("total"))
-    lines = lines_of(chunks).join(place, "doc")
+    salted = place.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    lines = lines_of(chunks).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["doc", "salt"])
     hot = written(_often(lines.select("doc", "site", F.explode("pieces").alias("piece")), totals, "piece").select("site", "piece"), "pieces")
     if hot.count() <= BROADCAST_ROWS:
         hot = F.broadcast(hot)
-    holds = lines.select("doc", "site", "id", "line_no", "line", F.explode_outer("pieces").alias("piece")).join(hot.withColumn("hot", F.lit(True)), ["site", "piece"], "left")
-    whole = holds.groupBy("doc", "site", "id", "line_no", "line").agg(F.bool_and(F.col("piece").isNull() | F.coalesce("hot", F.lit(False))).alias("all_hot"))
+    holds = lines.select("doc", "salt", "site", "id", "line_no", "line", F.explode_outer("pieces").alias("piece")).join(hot.withColumn("hot", F.lit(True)), ["site", "piece"], "left")
+    whole = holds.groupBy("doc", "salt", "site", "id", "line_no", "line").agg(F.bool_and(F.col("piece").isNull() | F.coalesce("hot", F.lit(False))).alias("all_hot"))
     candidates = whole.filter("all_hot").select("doc", "site", "id", "line_no", "line")
     often = _often(candidates, totals, "line")
     return candidates.select("site", "id", "line_no", "line").distinct().join(often, ["site", "line"])
