@@ -141,7 +141,7 @@ def test_cosine_blocks_ties_and_nulls(spark):
     rnd = np.random.default_rng(1)
     m = rnd.normal(size=(200, 8))
     m[7] = m[3]
-    data = [(i, m[i].tolist()) for i in range(200)] + [(900, None), (901, [1.0, 2.0])]
+    data = [(i, m[i].tolist()) for i in range(200)] + [(900, None), (901, [1.0, 2.0]), (None, [1.0] * 8), (None, None)]
     v = spark.createDataFrame(data, "key long, vec array<double>").repartition(5)
     q = v.filter("key < 10").select(F.col("key").alias("qid"), "vec")
     got = {}

@@ -194,7 +194,7 @@ def cosine_top_k(queries: DataFrame, rows: DataFrame, k: int, same: bool = False
 
     The query set is collected in blocks of at most QUERY_BLOCK_BYTES and meets every row once, as one matrix product for
     each Arrow batch. A task keeps its best k for each query; only those candidates are shuffled. Vectors of another
-    dimension never match. same: whether a row may answer its own query.
+    dimension, null vectors and null keys never match. same: whether a row may answer its own query.
     """
     out = None
     for ids, matrix in _blocks(queries):
@@ -208,7 +208,7 @@ def cosine_top_k(queries: DataFrame, rows: DataFrame, k: int, same: bool = False
 def _blocks(queries: DataFrame) -> Iterator[tuple[list[int], np.ndarray]]:
     ids: list[int] = []
     vecs: list[list[float]] = []
-    for qid, vec in queries.filter("vec is not null").select("qid", "vec").toLocalIterator():
+    for qid, vec in queries.filter("qid is not null and vec is not null").select("qid", "vec").toLocalIterator():
         if ids and (len(vec) != len(vecs[0]) or len(ids) * len(vec) * 8 > QUERY_BLOCK_BYTES):
             yield ids, _unit(np.asarray(vecs, dtype=np.float64))
             ids, vecs = [], []
@@ -231,18 +231,14 @@ def _scan(rows: DataFrame, ids: list[int], matrix: np.ndarray, k: int, same: boo
         best_k = np.zeros((len(qids), 0), dtype=np.int64)
         for batch in batches:
             vec = batch.column(1)
-            ok = np.asarray([x is not None and len(x) == matrix.shape[1] for x in vec.to_pylist()]) if vec.null_count else None
-            lists = vec.to_pylist() if ok is not None else None
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            if lists is not None:
-                keys, data = keys[ok], np.asarray([x for x, o in zip(lists, ok) if o], dtype=np.float64)
-            else:
-                flat = vec.flatten().to_numpy(zero_copy_only=False)
-                if len(flat) != len(keys) * matrix.shape[1]:
-                    rows_ = [(i, x) for i, x in zip(keys, vec.to_pylist()) if len(x) == matrix.shape[1]]
-                    keys, data = np.asarray([i for i, _ in rows_], dtype=np.int64), np.asarray([x for _, x in rows_], dtype=np.float64)
-                else:
-                    data = flat.reshape(len(keys), -1).astype(np.float64)
+            flat = vec.flatten().to_numpy(zero_copy_only=False)
+            sizes = np.asarray(vec.value_lengths())
+            if (sizes != matrix.shape[1]).any():
+                own = np.flatnonzero(sizes == matrix.shape[1])
+                flat = np.concatenate([vec[int(i)].values.to_numpy(zero_copy_only=False) for i in own]) if len(own) else np.empty(0)
+                keys = keys[own]
+            data = flat.reshape(len(keys), -1).astype(np.float64)
             if not len(keys):
                 continue
             s = np.round(matrix @ _unit(data).T, 9)
@@ -257,7 +253,7 @@ def _scan(rows: DataFrame, ids: list[int], matrix: np.ndarray, k: int, same: boo
         if real.any():
             yield pa.RecordBatch.from_arrays([pa.array(q[real]), pa.array(key[real]), pa.array(s[real])], names=["qid", "key", "score"])
 
-    return rows.select(F.col("key").cast("long"), "vec").mapInArrow(run, "qid long, key long, score double")
+    return rows.filter("key is not null and vec is not null").select(F.col("key").cast("long"), "vec").mapInArrow(run, "qid long, key long, score double")
 
 
 # ---- fusion and tiers --------------------------------------------------------------------------------------------------
