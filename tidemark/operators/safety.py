@@ -106,7 +106,7 @@ def frames(texts: DataFrame) -> DataFrame:
 
 def year_phrases(texts: DataFrame) -> DataFrame:
     """(doc_id, text) -> (doc_id, year): four-digit years 1900..2100 before the word for a year, in any case form."""
-    years = F.regexp_extract_all("text", F.lit(r"(?iu)\b(1[9]\d\d|20\d\d|2100)\s+(?:год(?:а|у|ом|е)?|г\.)"), F.lit(1))
+    years = F.regexp_extract_all("text", F.lit(r"(?iu)(?:^|[^\p{L}\p{N}_])(19\d\d|20\d\d|2100)\s+(?:год(?:а|у|ом|е)?|г\.)"), F.lit(1))
     return texts.select("doc_id", F.explode(years).alias("year")).select("doc_id", F.col("year").cast("int").alias("year"))
 
 

@@ -131,7 +131,7 @@ def safety_reasons(spark, d):
 
 @QUERIES.add(
     """with page as (select doc_id, any_value(text) as text from documents where text is not null group by doc_id),
-    u as (select doc_id, unnest(regexp_extract_all(text, '(?i)\\b(19\\d\\d|20\\d\\d|2100)\\s+(?:год(?:а|у|ом|е)?|г\\.)', 1)) as y from page)
+    u as (select doc_id, unnest(regexp_extract_all(text, '(?i)(?:^|[^\\p{L}\\p{N}_])(19\\d\\d|20\\d\\d|2100)\\s+(?:год(?:а|у|ом|е)?|г\\.)', 1)) as y from page)
     select doc_id, cast(y as integer) as year from u"""
 )
 def year_phrases(spark, d):
