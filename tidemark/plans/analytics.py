@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tidemark.functions import text as T
 from tidemark.operators import audit, corpus, evaluate
 from tidemark.plans.base import Registry, table
 from tidemark.streaming import events as streams
@@ -148,7 +146,7 @@ def event_tumbling(spark, d):
 
 
 @QUERIES.add(
-    """with g as (select user_id, ts, case when ts - lag(ts) over w <= interval 30 minutes then 0 else 1 end as fresh from events window w as (partition by user_id order by ts, event_id)),
+    """with g as (select user_id, ts, case when ts - lag(ts) over w < interval 30 minutes then 0 else 1 end as fresh from events window w as (partition by user_id order by ts, event_id)),
     s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from g)
     select user_id, min(ts) as first_ts, max(ts) as last_ts, count(*) as n from s group by user_id, k"""
 )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import protocol as P
 from tidemark.functions import text as T
-from tidemark.operators import safety, spans
+from tidemark.operators import safety
 from tidemark.plans.base import Registry, table
 from tidemark.plans.corrections import spans_of
 

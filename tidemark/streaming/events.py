@@ -17,11 +17,7 @@ def tumbling(events: DataFrame, size: str, *by: str) -> DataFrame:
 
 
 def sessions(events: DataFrame, gap: str, key: str = "user_id") -> DataFrame:
-    """(key, first_ts, last_ts, n): runs of events of a key with no longer pause than the gap.
-
-    A session window ends a gap after its last event; an event exactly at that end still belongs to it here, hence the extra
-    microsecond.
-    """
+    """(key, first_ts, last_ts, n): runs of events of a key with pauses shorter than the gap."""
     w = F.session_window("ts", gap)
     g = events.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(w, key).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"))
     return g.select(key, F.col("first_ts").cast("timestamp_ntz").alias("first_ts"), F.col("last_ts").cast("timestamp_ntz").alias("last_ts"), "n")
@@ -34,13 +30,11 @@ def daily_counts(spark: SparkSession, path: str) -> DataFrame:
     event closes, are flushed by an end-of-input row far ahead that is filtered out again.
     """
     base = f"{checkpoint_dir(spark)}/tidemark-stream-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(path).schema
     last = spark.read.parquet(path).agg(F.max("ts")).scalar()
     feed = spark.read.parquet(path).select(F.col("ts").cast("timestamp").alias("ts"), F.lit(1).alias("real"))
     end = spark.range(1).select((last + F.expr("interval 3650 days")).cast("timestamp").alias("ts"), F.lit(0).alias("real"))
     feed.write.parquet(f"{base}/in/part=0")
     end.write.parquet(f"{base}/in/part=1")
-    del schema
     stream = spark.readStream.schema("ts timestamp, real int, part int").option("maxFilesPerTrigger", 1_000_000).parquet(f"{base}/in")
     counts = stream.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 day").alias("w")).agg(F.sum("real").alias("n"))
     out = counts.select(F.col("w.start").alias("day"), "n")
