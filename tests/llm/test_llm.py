@@ -332,6 +332,36 @@ def test_mixing_shares_and_caps(spark):
     assert mixing.mix(D.limit(0), Tg).count() == 0
 
 
+def test_schedule_equals_its_definition(spark):
+    quotas = [70.0, 1.0, 17.5, 11.5]
+    bits, ends = mixing._intervals(quotas, 1 << 20)
+    seen, want = {}, set()
+    for i in range(2**bits):
+        point, digit, n = 0.0, 0.5, i
+        while n:
+            point, digit, n = point + digit * (n % 2), digit / 2, n // 2
+        source = next(k for k in range(4) if point < sum(quotas[: k + 1]) / 100)
+        want.add((f"s{source}", seen.get(source, 0), i))
+        seen[source] = seen.get(source, 0) + 1
+    got = mixing.schedule(spark, ["s0", "s1", "s2", "s3"], bits, ends)
+    assert set(rows(got)) == want and got.count() == 2**bits and min(seen.values()) >= mixing.SLOTS - 1
+
+
+def test_mix_is_read_in_the_order_of_its_shares(spark):
+    shares = {"a": 0.6, "b": 0.3, "c": 0.1}
+    D = spark.createDataFrame([(i, "aabc"[i % 4], "слово " * (1 + i % 7)) for i in range(2000)], "doc_id long, source string, text string")
+    Tg = spark.createDataFrame([(s, w, 2) for s, w in shares.items()], "source string, target_share double, max_repeats int")
+    got = mixing.mix(D, Tg).collect()
+    order = sorted((p.position, p.slot, x.source, x.tokens, x.doc_id) for x in got for p in x.slots)
+    assert len({p for p, *_ in order}) == len(order) and all(int(p) == slot for p, slot, *_ in order)
+    assert max(x.repeats for x in got) == 2 and all(b.slot > a.slot for x in got for a, b in zip(x.slots, x.slots[1:]))
+    total, so_far, n = sum(o[3] for o in order), dict.fromkeys(shares, 0), 0
+    for _, _, source, tokens, _ in order:
+        so_far[source] += tokens
+        n += tokens
+        assert all(abs(so_far[s] - w * n) < 0.02 * total for s, w in shares.items())
+
+
 def test_token_counts_are_exact():
     import tiktoken
 

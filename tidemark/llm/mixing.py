@@ -3,6 +3,8 @@
 Method: a low-discrepancy source schedule. The documents of each source are shuffled by a keyed hash and cut into blocks of
 about equal tokens; van der Corput points, mapped through the cumulative weights, say which source each slot of the mix
 draws from; a slot is joined to the block of its rank within the source, round the source again as often as it may be.
+Blocks are sized from the mix, so that each source has many slots; where blocks are shorter than documents, a slot holds
+those that start in its block, and some slots are empty.
 
 A source with n tokens, at most r repeats and the share t allows a mix of at most n * r / t tokens in which it has its share;
 the size of the mix is the least of these, so that every source reaches its share. If a larger size is asked for, sources
@@ -10,7 +12,8 @@ give at most what their repeats allow and the report shows what is missing. Targ
 shared out among the others in proportion. Documents are never cut: a source ends where half of the next document would
 pass its quota, so that it differs from its target by half a document at most.
 
-Shuffles: one repartition of (document, tokens) keys by (source, salt), not of texts; running totals are two-level prefix
+Shuffles: one repartition of (document, tokens) keys by (source, salt), not of texts; then the keys of chosen documents and
+the slots by (source, rank), and those keys by document. Running totals are two-level prefix
 sums over salted blocks, so one source that holds a third of all rows is spread over its blocks. Token counts are made by
 a public tokenizer in Arrow batches.
 
@@ -23,16 +26,19 @@ from __future__ import annotations
 import base64
 import functools
 import importlib.util
+import math
 import os
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.arrow import map_columns, written
 
 BLOCKS = 256
+#: Slots of the schedule that the smallest source in the mix has, to within one.
+SLOTS = 16
 KNOWN_PIECES = 500_000
 
 
@@ -149,25 +155,84 @@ def _running(docs: DataFrame, seed: int) -> DataFrame:
 
 
 def mix(documents: DataFrame, targets: DataFrame, size: int | None = None, tokenizer: str | None = None, seed: int = 7, slot_tokens: int = 1 << 20) -> DataFrame:
-    """(doc_id, source, repeats, tokens, slots): the chosen documents, how often each is taken, and the slots it is read in.
+    """(doc_id, source, repeats, tokens, slots): the chosen documents, how often each is taken, and the places it is read at.
 
-    slots are positions of the interleaved mix: slot k of a source of weight w starts where the k-th van der Corput point
-    of that source falls; here its rank within the source divided by its share, jittered by the point of its rank, which
-    orders all slots without building the schedule in one place.
+    slots holds a (position, slot) for each time: the slot of the schedule whose block the document starts in, and the slot
+    plus the part of its block that stands before the document. Read by position, the documents are the mix in its order.
+    slot_tokens is the most tokens of a slot; slots are smaller where a source would have fewer than SLOTS of them.
     """
-    return _choose(counted(documents, tokenizer), targets, size, seed, slot_tokens)
+    docs = counted(documents, tokenizer)
+    chosen, sources = _choose(docs, targets, size, seed)
+    bits, ends = _intervals([r.quota for r in sources], slot_tokens)
+    blocks = [(r.source, n - m) for r, m, n in zip(sources, [0, *ends], ends)]
+    spark = documents.sparkSession
+    chosen = chosen.join(F.broadcast(spark.createDataFrame(blocks, "source string, blocks long")), "source")
+    # pos: tokens of its source that stand in the mix before the document, this time; the quota is cut into ``blocks`` equal blocks.
+    d = chosen.withColumn("r", F.explode(F.expr("sequence(0, repeats - 1)"))).withColumn("pos", F.col("before") + F.col("r") * F.col("total"))
+    d = d.withColumn("x", F.col("pos") * F.col("blocks") / F.col("quota")).withColumn("rank", F.floor("x"))
+    d = d.join(schedule(spark, [r.source for r in sources], bits, ends), ["source", "rank"])
+    place = F.struct((F.col("slot") + F.col("x") - F.col("rank")).alias("position"), "slot")
+    return d.groupBy("doc_id", "source", "repeats", "tokens").agg(F.array_sort(F.collect_list(place)).alias("slots"))
+
+
+def _intervals(quotas: list[float], slot_tokens: int) -> tuple[int, list[int]]:
+    """Quotas -> (bits, ends): 2 ** bits slots, and where the interval of each source ends among their sorted points.
+
+    The points of 2 ** bits slots are all multiples of 2 ** -bits, so interval [m, n) holds n - m slots whatever the weights.
+    """
+    total = math.fsum(quotas)
+    least = max([1.0, total / slot_tokens, *(SLOTS * total / q for q in quotas)])
+    bits = math.ceil(math.log2(least))
+    ends = [math.ceil(math.fsum(quotas[: k + 1]) / total * 2**bits) for k in range(len(quotas))]
+    return bits, ends
+
+
+def _ranks(slots, ends, bits: int):
+    """Arrays of slots and of ends -> (van der Corput points times 2 ** bits, number of earlier slots with points below the ends)."""
+    import numpy as np
+
+    n, point = np.zeros_like(slots), np.zeros_like(slots)
+    for t in reversed(range(bits)):
+        one = (slots >> t) & 1
+        # Earlier slots that leave this one at bit t: their points are ``point`` and all multiples of 2 ** (bits - t) above it.
+        n += one * np.clip(-((point - ends) >> (bits - t)), 0, 1 << t)
+        point += one << (bits - 1 - t)
+    return point, n
+
+
+def schedule(spark: SparkSession, sources: list[str], bits: int, ends: list[int]) -> DataFrame:
+    """(source, rank, slot): the source that each slot draws from and the rank of the slot among those of its source.
+
+    Narrow: ranks are counted from the digits of the slot, so that no slot needs its neighbours.
+    """
+
+    def make():
+        import numpy as np
+
+        names, upper = np.array(sources, dtype=object), np.array(ends)
+        lower = np.concatenate([[0], upper[:-1]])
+
+        def each(slots):
+            s = np.array(slots)
+            k = np.searchsorted(upper, _ranks(s, s, bits)[0], "right")
+            rank = _ranks(s, upper[k], bits)[1] - _ranks(s, lower[k], bits)[1]
+            return [names[k].tolist(), rank, s]
+
+        return each
+
+    return map_columns(spark.range(2**bits if sources else 0), make, "source string, rank long, slot long")
 
 
-def _choose(docs: DataFrame, targets: DataFrame, size: int | None, seed: int, slot_tokens: int) -> DataFrame:
+def _choose(docs: DataFrame, targets: DataFrame, size: int | None, seed: int) -> tuple[DataFrame, list[Row]]:
+    """The chosen documents (doc_id, source, tokens, before, quota, total, repeats), and (source, quota, total) of the sources in the mix."""
+    spark = docs.sparkSession
     sizes = docs.groupBy("source").agg(F.sum("tokens").alias("tokens"))
-    q = quotas(sizes, targets, size).filter("quota > 0").select("source", "share", "quota", F.col("tokens").alias("total"))
-    d = _running(docs, seed).join(q, "source")
+    q = quotas(sizes, targets, size).filter("quota > 0").select("source", "quota", F.col("tokens").alias("total"))
+    sources = q.orderBy("source").collect()  # one row a source
+    d = _running(docs, seed).join(F.broadcast(spark.createDataFrame(sources, q.schema)), "source")
     # A document that starts at ``before`` of its source is read again at before + total, before + 2 total, ... below the quota.
     d = d.withColumn("repeats", (F.floor((F.col("quota") - F.col("before") - F.col("tokens") / 2) / F.col("total")) + 1).cast("int")).filter("repeats > 0")
-    at = F.expr(f"transform(sequence(0, repeats - 1), r -> floor((before + r * total) / {slot_tokens}))")
-    # The k-th slot of a source lies at (k + vdc(k)) / share on the common axis.
-    vdc = F.expr("transform(s, k -> struct((k + cast(conv(reverse(lpad(bin(k % 65536), 16, '0')), 2, 10) as double) / 65536) / share as position, k as slot))")
-    return d.withColumn("s", at).select("doc_id", "source", "repeats", "tokens", vdc.alias("slots"))
+    return d, sources
 
 
 def report(documents: DataFrame, targets: DataFrame, size: int | None = None, tokenizer: str | None = None, seed: int = 7) -> DataFrame:
@@ -175,7 +240,7 @@ def report(documents: DataFrame, targets: DataFrame, size: int | None = None, to
     docs = counted(documents, tokenizer)
     sizes = docs.groupBy("source").agg(F.sum("tokens").alias("tokens"))
     q = quotas(sizes, targets, size)
-    chosen = _choose(docs, targets, size, seed, 1 << 20).groupBy("source").agg(
+    chosen = _choose(docs, targets, size, seed)[0].groupBy("source").agg(
         F.sum(F.col("tokens") * F.col("repeats")).alias("mixed_tokens"), F.count("*").alias("documents"), F.max("repeats").alias("most_repeats")
     )
     total = F.sum("mixed_tokens").over(Window.partitionBy(F.lit(0)))  # one row a source
