@@ -426,3 +426,11 @@ def test_queries_run_and_have_their_columns(spark, sf):
     for name, cols in want.items():
         df = queries.queries()[name](spark, sf)
         assert df.columns == cols.split() and df.count() == df.distinct().count() > 0, name
+
+
+def test_sentence_units_see_every_segment_and_chunk(spark, sf):
+    want = spark.read.parquet(f"{sf}/segments.parquet").selectExpr("'segment' as tab", "seg_id as row_id", "text")
+    want = want.union(spark.read.parquet(f"{sf}/rag_chunks.parquet").selectExpr("'chunk'", "id", "text")).filter(F.length(F.trim("text")) > 0)
+    got = queries.p6_units(spark, sf)
+    assert rows(got.select("tab", "row_id").distinct()) == rows(want.select("tab", "row_id").distinct())
+    assert got.count() == got.select("tab", "row_id", "start_pos").distinct().count()

@@ -87,13 +87,17 @@ def p5_chunks(spark: SparkSession, d: str) -> DataFrame:
     return repeats.without_repeats(read(spark, d, "rag_chunks"), read(spark, d, "rag_documents"))
 
 
-def _p6_rows(spark: SparkSession, d: str) -> DataFrame:
+def _p6_rows(spark: SparkSession, d: str, chunks: DataFrame) -> DataFrame:
     segments = read(spark, d, "segments").select(F.lit("segment").alias("tab"), F.col("seg_id").alias("row_id"), "text", F.lit(False).alias("line_breaks_end"))
-    chunks = (
-        read(spark, d, "rag_chunks")
-        .filter("chunk_id = 0")
-        .select(F.lit("chunk").alias("tab"), F.col("id").alias("row_id"), "text", F.lit(True).alias("line_breaks_end"))
-    )
+    return segments.unionByName(chunks).filter(F.length("text") > 0)
+
+
+def _p6_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "rag_chunks").select(F.lit("chunk").alias("tab"), F.col("id").alias("row_id"), "text", F.lit(True).alias("line_breaks_end"), "chunk_id")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Of the chunks only those with chunk_id 0 that are not garbled, as this query is defined; p6_units takes all."""
 
     def make():
         def each(tab, row_id, text, breaks):
@@ -102,16 +106,13 @@ def _p6_rows(spark: SparkSession, d: str) -> DataFrame:
 
         return each
 
-    clean = map_rows(chunks, make, "tab string, row_id long, text string, line_breaks_end boolean")
-    return segments.unionByName(clean).filter(F.length("text") > 0)
-
-
-def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return sentences.found(_p6_rows(spark, d))
+    first = _p6_chunks(spark, d).filter("chunk_id = 0").drop("chunk_id")
+    clean = map_rows(first, make, "tab string, row_id long, text string, line_breaks_end boolean")
+    return sentences.found(_p6_rows(spark, d, clean))
 
 
 def p6_units(spark: SparkSession, d: str) -> DataFrame:
-    return sentences.units(_p6_rows(spark, d))
+    return sentences.units(_p6_rows(spark, d, _p6_chunks(spark, d).drop("chunk_id")))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
