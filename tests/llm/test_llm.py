@@ -434,3 +434,11 @@ def test_sentence_units_see_every_segment_and_chunk(spark, sf):
     got = queries.p6_units(spark, sf)
     assert rows(got.select("tab", "row_id").distinct()) == rows(want.select("tab", "row_id").distinct())
     assert got.count() == got.select("tab", "row_id", "start_pos").distinct().count()
+
+
+def test_redaction_keeps_rows_without_text(spark, sf):
+    want = spark.read.parquet(f"{sf}/audit_events.parquet").select("id", "text_snippet").distinct()
+    got = queries.p1_redacted(spark, sf).filter("tab = 'audit'")
+    assert rows(got.select("row_id")) == rows(want.select("id"))
+    empty = F.coalesce(F.length("text"), F.lit(0)) == 0
+    assert rows(got.filter(empty).select("row_id", "text")) == rows(want.filter("coalesce(text_snippet, '') = ''")) != []

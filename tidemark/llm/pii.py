@@ -339,7 +339,7 @@ def kinds(df: DataFrame) -> DataFrame:
 
         return each
 
-    return map_rows(df.select("tab", "row_id", "text"), make, "tab string, row_id long, pii_kind string").dropDuplicates()
+    return map_rows(df.select("tab", "row_id", "text").filter(F.length("text") > 0), make, "tab string, row_id long, pii_kind string").dropDuplicates()
 
 
 def redact(df: DataFrame) -> DataFrame:
@@ -363,7 +363,7 @@ def redact(df: DataFrame) -> DataFrame:
 
 
 def both_tables(audit: DataFrame, chunks: DataFrame) -> DataFrame:
-    """The two text columns of the project as one (tab, row_id, text) frame; rows without text are left out of the scan."""
+    """The two text columns of the project as one (tab, row_id, text) frame, rows without text included."""
     a = audit.select(F.lit("audit").alias("tab"), F.col("id").alias("row_id"), F.col("text_snippet").alias("text"))
     c = chunks.select(F.lit("chunk").alias("tab"), F.col("id").alias("row_id"), F.col("text"))
-    return a.unionByName(c).filter(F.length("text") > 0)
+    return a.unionByName(c)
