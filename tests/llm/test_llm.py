@@ -442,3 +442,18 @@ def test_redaction_keeps_rows_without_text(spark, sf):
     assert rows(got.select("row_id")) == rows(want.select("id"))
     empty = F.coalesce(F.length("text"), F.lit(0)) == 0
     assert rows(got.filter(empty).select("row_id", "text")) == rows(want.filter("coalesce(text_snippet, '') = ''")) != []
+
+
+def test_no_hard_cut_where_the_first_half_has_a_boundary():
+    text = "слово " * 5 + "ж" * 80 + " конец" * 3
+    got = splitting.choose(splitting.boundaries(text), len(text), 100, 10)
+    assert got[0] == (0, 30, False) and not any(hard for *_, hard in got)
+    assert all(e - s <= 100 for s, e, _ in got) and all(b[0] == a[1] - 10 for a, b in zip(got, got[1:])) and got[-1][1] == len(text)
+    assert all(hard for *_, hard in splitting.choose(splitting.boundaries("аб " + "ж" * 300), 303, 100, 10)[:-1])
+
+
+def test_renumbering_keeps_pieces_without_keys(spark):
+    some = [("d", 0, 0), ("d", 0, 1), ("d", 300, 0), ("d", None, 0), (None, 0, 0), (None, 5, 0), (None, None, 0)]
+    df = spark.createDataFrame([(*x, 0, "t", None) for x in some], "doc_id string, chunk_id int, piece int, start_pos int, text string, cut string")
+    got = rows(splitting.renumber(df).select("doc_id", "chunk_id", "chunks"))
+    assert got == sorted([("d", k, 4) for k in range(4)] + [(None, k, 3) for k in range(3)], key=repr)

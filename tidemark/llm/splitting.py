@@ -6,11 +6,11 @@ each range finds its own first border and that of the next range from its halo,
 only one summary row a range is shuffled. split_rows applies the same detection and choice to texts that are rows.
 
 Rules: a piece has at most ``limit`` code points; a cut is put behind the strongest boundary in the second half of the
-piece (line break, then sentence end, then clause mark, then blank; the latest of equals); where an unbroken run leaves no
-boundary the cut is hard. Each piece but the first starts exactly ``overlap`` code points before the end of the one before.
+piece (line break, then sentence end, then clause mark, then blank; the latest of equals), or behind the latest in the first
+half if the second has none; where an unbroken run leaves no boundary behind the overlap the cut is hard. Each piece but the first starts exactly ``overlap`` code points before the end of the one before.
 
 Defined results: null and empty texts and texts within the limit come back as one piece; a null limit or overlap takes the
-default; a limit below 1 counts as 1; an overlap is at most half of the limit, so that every piece makes progress.
+default; pieces with a null doc_id or chunk_id are numbered among themselves; a limit below 1 counts as 1; an overlap is at most half of the limit, so that every piece makes progress.
 """
 
 from __future__ import annotations
@@ -71,6 +71,8 @@ def choose(table: list[tuple[int, int]], n: int, limit: int, overlap: int, start
             if best is None or table[j][1] >= best[1]:
                 best = table[j]
             j += 1
+        if best is None and i and table[i - 1][0] > s + overlap:
+            best = table[i - 1]
         e = best[0] if best else most
         out.append((s, e, best is None))
         s = e - overlap
@@ -129,20 +131,22 @@ def renumber(pieces: DataFrame) -> DataFrame:
     A two-level prefix sum: piece counts by (document, block of chunk_id), summed over the blocks, then within a block. One
     document that holds a third of all chunks is spread over its blocks.
     """
-    block = F.floor(F.col("chunk_id") / ID_BLOCK).cast("long")
-    p = pieces.withColumn("block", block)
-    n = p.groupBy("doc_id", "block").agg(F.count("*").alias("n"))
-    over = Window.partitionBy("doc_id").orderBy("block")
+    # Null keys as values that no other key has, so that plain equality joins them and pieces are shuffled once.
+    block = F.coalesce(F.floor(F.col("chunk_id") / ID_BLOCK).cast("long"), F.lit(-1 << 40))
+    doc = ["doc", "unknown"]
+    p = pieces.withColumns({"doc": F.coalesce("doc_id", F.lit("")), "unknown": F.col("doc_id").isNull(), "block": block})
+    n = p.groupBy(*doc, "block").agg(F.count("*").alias("n"))
+    over = Window.partitionBy(*doc).orderBy("block")
     base = n.select(
-        "doc_id",
+        *doc,
         "block",
         (F.sum("n").over(over) - F.col("n")).alias("base"),
-        F.sum("n").over(Window.partitionBy("doc_id")).alias("chunks"),
+        F.sum("n").over(Window.partitionBy(*doc)).alias("chunks"),
     )
-    within = F.row_number().over(Window.partitionBy("doc_id", "block").orderBy("chunk_id", "piece"))
+    within = F.row_number().over(Window.partitionBy(*doc, "block").orderBy("chunk_id", "piece"))
     return (
         p.withColumn("k", within)
-        .join(base, ["doc_id", "block"])
+        .join(base, [*doc, "block"])
         .select("doc_id", F.col("chunk_id").alias("old_chunk_id"), (F.col("base") + F.col("k") - 1).cast("int").alias("chunk_id"), F.col("chunks").cast("int").alias("chunks"), "start_pos", "text", "cut")
     )
 
