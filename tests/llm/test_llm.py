@@ -314,51 +314,83 @@ def test_columns_are_put_in_order():
 # ---- 8 -------------------------------------------------------------------------------------------------------------------
 
 
-def test_mixing_shares_and_caps(spark):
+def _mix_tables(spark):
     rnd = random.Random(8)
-    docs = [(i, "big" if i % 3 else "small" if i % 9 else "rare", "слово " * rnd.randrange(1, 30)) for i in range(900)] + [(1000, "big", None), (1001, None, "x"), (1, "big", "слово ")]
+    docs = [(i, "big" if i % 3 else "small" if i % 9 else "rare", "слово " * rnd.randrange(1, 30)) for i in range(900)] + [(1000, "big", None), (1001, None, "x"), (1, "big", "слово "), (1002, "other", "слово ")]
     D = spark.createDataFrame(docs, "doc_id long, source string, text string").dropDuplicates(["doc_id"])
     Tg = spark.createDataFrame([("big", 0.3, 1), ("small", 0.4, 4), ("rare", 0.2, None), ("gone", 0.1, 2)], "source string, target_share double, max_repeats int")
-    r = {x.source: x for x in mixing.report(D, Tg).collect()}
-    assert abs(sum(x.actual_share for x in r.values()) - 1) < 1e-9 and r["gone"].reachable_share == 0
+    return D, Tg
+
+
+def test_strict_mix_meets_every_share(spark):
+    D, Tg = _mix_tables(spark)
+    r = {x.source: x for x in mixing.report(D, Tg, strict=True).collect()}
+    assert abs(sum(x.actual_share for x in r.values()) - 1) < 1e-9 and r["gone"].reachable_share == 0 and r["other"].target_share == 0
     for s in ("big", "small", "rare"):
         assert abs(r[s].actual_share - r[s].reachable_share) < 0.01
         assert r[s].max_repeats is None or r[s].most_repeats <= r[s].max_repeats
-    m = mixing.mix(D, Tg).collect()
-    assert all(len(x.slots) == x.repeats for x in m) and len({x.doc_id for x in m}) == len(m)
-    assert rows(mixing.mix(D, Tg)) == rows(mixing.mix(D, Tg))
+    assert mixing.mix(D.limit(0), Tg).count() == 0 and mixing.order(D.limit(0), Tg).count() == 0
+
+
+def test_mix_is_as_large_as_asked_and_caps_hold(spark):
+    D, Tg = _mix_tables(spark)
+    r = {x.source: x for x in mixing.report(D, Tg).collect()}
+    total = sum(x.tokens for x in r.values() if x.target_share)
+    assert abs(sum(x.mixed_tokens for x in r.values()) - total) < 200
+    m = mixing.mix(D, Tg)
+    assert rows(m) == rows(mixing.mix(D, Tg)) and m.count() == m.select("doc_id").distinct().count()
     big = {x.source: x for x in mixing.report(D, Tg, size=10_000_000).collect()}
-    assert big["small"].most_repeats <= 4 and big["big"].most_repeats <= 1
-    assert mixing.mix(D.limit(0), Tg).count() == 0
+    assert big["small"].most_repeats == 4 and big["big"].most_repeats == 1 and big["small"].mixed_tokens == 4 * big["small"].tokens
+    # What capped sources lack, the source without a cap gives.
+    assert abs(sum(x.mixed_tokens for x in big.values()) - 10_000_000) < 200 and big["small"].wanted_tokens > big["small"].mixed_tokens
+
+
+def test_quotas_share_out_what_capped_sources_lack(spark):
+    sizes = spark.createDataFrame([("a", 100), ("b", 1000), ("c", 1000)], "source string, tokens long")
+    Tg = spark.createDataFrame([("a", 0.5, 1), ("b", 0.25, 2), ("c", 0.25, None)], "source string, target_share double, max_repeats int")
+    q = {x.source: x.quota for x in mixing.quotas(sizes, Tg, 1000)}
+    assert q == {"a": 100.0, "b": 450.0, "c": 450.0}
+    assert [x.quota for x in mixing.quotas(sizes, Tg, strict=True)] == [100.0, 50.0, 50.0]
+    assert [x.quota for x in mixing.quotas(sizes, Tg.filter("source <> 'c'"), 10_000)] == [100.0, 2000.0]
 
 
 def test_schedule_equals_its_definition(spark):
     quotas = [70.0, 1.0, 17.5, 11.5]
     bits, ends = mixing._intervals(quotas, 1 << 20)
+    assert all(abs(e / 2**bits - sum(quotas[: k + 1]) / 100) <= 1 / 2**bits for k, e in enumerate(ends))
     seen, want = {}, set()
     for i in range(2**bits):
         point, digit, n = 0.0, 0.5, i
         while n:
             point, digit, n = point + digit * (n % 2), digit / 2, n // 2
-        source = next(k for k in range(4) if point < sum(quotas[: k + 1]) / 100)
+        source = next(k for k in range(4) if point < ends[k] / 2**bits)
         want.add((f"s{source}", seen.get(source, 0), i))
         seen[source] = seen.get(source, 0) + 1
     got = mixing.schedule(spark, ["s0", "s1", "s2", "s3"], bits, ends)
     assert set(rows(got)) == want and got.count() == 2**bits and min(seen.values()) >= mixing.SLOTS - 1
 
 
+def test_every_source_has_a_slot():
+    bits, ends = mixing._intervals([1e12, 3.0, 1.0], 1 << 20)
+    assert bits == mixing.MOST_BITS and ends[-1] == 2**bits and [b - a for a, b in zip(ends, ends[1:])] == [1, 1]
+    assert mixing._intervals([], 1) == (0, []) and mixing._intervals([5.0], 1 << 20)[1][-1] == 2 ** mixing._intervals([5.0], 1 << 20)[0]
+
+
 def test_mix_is_read_in_the_order_of_its_shares(spark):
     shares = {"a": 0.6, "b": 0.3, "c": 0.1}
     D = spark.createDataFrame([(i, "aabc"[i % 4], "слово " * (1 + i % 7)) for i in range(2000)], "doc_id long, source string, text string")
     Tg = spark.createDataFrame([(s, w, 2) for s, w in shares.items()], "source string, target_share double, max_repeats int")
-    got = mixing.mix(D, Tg).collect()
-    order = sorted((p.position, p.slot, x.source, x.tokens, x.doc_id) for x in got for p in x.slots)
-    assert len({p for p, *_ in order}) == len(order) and all(int(p) == slot for p, slot, *_ in order)
-    assert max(x.repeats for x in got) == 2 and all(b.slot > a.slot for x in got for a, b in zip(x.slots, x.slots[1:]))
-    total, so_far, n = sum(o[3] for o in order), dict.fromkeys(shares, 0), 0
-    for _, _, source, tokens, _ in order:
-        so_far[source] += tokens
-        n += tokens
+    order = mixing.order(D, Tg, strict=True).orderBy("position").collect()
+    assert len({x.position for x in order}) == len(order) and all(int(x.position) == x.slot for x in order)
+    taken = {}
+    for x in order:
+        assert taken.get(x.doc_id, -1) < x.take
+        taken[x.doc_id] = x.take
+    assert {r.doc_id: r.repeats - 1 for r in mixing.mix(D, Tg, strict=True).collect()} == taken and max(taken.values()) == 1
+    total, so_far, n = sum(x.tokens for x in order), dict.fromkeys(shares, 0), 0
+    for x in order:
+        so_far[x.source] += x.tokens
+        n += x.tokens
         assert all(abs(so_far[s] - w * n) < 0.02 * total for s, w in shares.items())
 
 

@@ -134,6 +134,10 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(read(spark, d, "documents"), read(spark, d, "mix_targets"))
 
 
+def p8_order(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.order(read(spark, d, "documents"), read(spark, d, "mix_targets"))
+
+
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.report(read(spark, d, "documents"), read(spark, d, "mix_targets"))
 
@@ -152,7 +156,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [p1_found, p1_redacted, p2_found, p2_restored, p3_found, p3_normalised, p4_found, p4_pieces, p5_found, p5_lines, p5_chunks]
-    own += [p6_found, p6_units, p7_found, p7_items, p7_cut, p8_mix, p8_shares, p9_found, p9_scores, p9_rates]
+    own += [p6_found, p6_units, p7_found, p7_items, p7_cut, p8_mix, p8_order, p8_shares, p9_found, p9_scores, p9_rates]
     return {f.__name__: f for f in own}
 
 
