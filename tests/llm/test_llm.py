@@ -115,9 +115,20 @@ def test_lookalike_cases_equal_brute_force(spark):
     rnd = random.Random(2)
     bits = ["слово", "word", "сл0во", "cлово", "λόγος", "Wi-Fi", "й", "й", "за́мок", " ", "​", "５", "Ａ", " ", "\n", "№", "…", "«", "，", "é", "né", "-", "'", " "]
     texts = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(1, 6))) for _ in range(600)] + ["", None]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    got = {r.i for r in df.filter(lookalike.is_case(F.col("t"))).collect()}
+    df = spark.createDataFrame([("t", str(i), t) for i, t in enumerate(texts)], "tab string, row_key string, text string")
+    got = {int(r.row_key) for r in lookalike.found(df).collect()}
     assert got == {i for i, t in enumerate(texts) if brute_case(t)}
+    assert {r.row_key for r in lookalike.found(df, lambda tab, text: "word" in text).collect()} == {str(i) for i in got if "word" not in texts[i]}
+
+
+def test_lookalike_takes_the_dominant_script_and_known_words_only(spark):
+    # "cклад" is known in Cyrillic; "оx" in neither script; "Рay" is mostly Latin; "нoc" stands in "нocок" too and is replaced by offset.
+    texts = {"1": "cклад, нoc, нocок", "2": "оx", "3": "Рay", "4": "склад нос Pay рау", "5": "Аa"}
+    df = spark.createDataFrame([("t", k, v) for k, v in texts.items()], "tab string, row_key string, text string")
+    got = {r.row_key: r.text for r in lookalike.normalise(df).collect()}
+    assert got == {"1": "склад, нос, нocок", "2": "оx", "3": "Pay", "4": "склад нос Pay рау", "5": "Аa"}
+    assert {r.known for r in lookalike.vocabulary(df).collect()} == {"склад", "нос", "pay", "рау"}
+    assert lookalike.mixed_tokens("Рay") == [(0, "Рay", ["Pay"])] and len(lookalike.mixed_tokens("оx")[0][2]) == 2
 
 
 def test_lookalike_normalise(spark):

@@ -1,26 +1,31 @@
 """Problem 3: text that looks the same but is written with other characters.
 
 Method: script-aware repair. Full-width letters and digits, letters with a separate accent, zero-width characters and odd
-blanks are brought to one form by fixed rules. In a token that mixes scripts the dominant script is determined and the
-look-alikes of the other are substituted, but only where the result is a word of the corpus vocabulary.
+blanks are brought to one form by fixed rules. In a token that mixes scripts the dominant script is determined (both of
+two equally strong ones are tried) and the look-alikes of the other are substituted, but only where the result is a word of
+the corpus vocabulary. A text is a case if the rules change it or a token mixes scripts; whether the vocabulary knows the
+repaired token decides what is written in its place, not whether the row is found.
 
-Whether a text is a case is decided in the JVM by regular expressions; only cases reach Python. The vocabulary is never
-collected: candidate words are semi-joined with the distinct words of the corpus.
+One narrow Arrow pass; most texts cost one search for a character that may matter. The vocabulary is never collected: each
+task gives the words it has not given before, their distinct set is semi-joined with the few candidates.
 
 Defined results: null -> null, '' -> ''; texts without a case come back unchanged; line breaks, quotes, dashes, the numero
-sign, the ellipsis and Chinese punctuation are left as they are; an accent with no single character is left.
+sign, the ellipsis and Chinese punctuation are left as they are; an accent with no single character is left; a mixed token
+without a known repair is left.
 """
 
 from __future__ import annotations
 
 import functools
+import re as stdlib_re
 import unicodedata
+from collections.abc import Callable
 
 import regex as re
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrow import map_rows
+from tidemark.llm.arrow import map_columns, map_rows, written
 
 # Letters that look alike in Latin, Cyrillic and Greek print, column by column.
 LATIN = "ABCEHIJKMNOPSTUXYZabceghijkmnopqrstuvwxyz"
@@ -30,6 +35,9 @@ GREEK = {"A": "Α", "B": "Β", "E": "Ε", "H": "Η", "I": "Ι", "K": "Κ", "M":
 ZERO_WIDTH = "­͏؜ᅟᅠ᠎​-‏‪-‮⁠-⁤⁪-⁯﻿"
 BLANKS = "\t\u000b\u000c   -   　"
 FULL_WIDTH = "０-９Ａ-Ｚａ-ｚ"
+#: Words that a task remembers to have given to the vocabulary.
+KNOWN_WORDS = 1_000_000
+_WORDS = stdlib_re.compile(r"[^\W\d_]{2,}")
 
 
 @functools.cache
@@ -46,31 +54,20 @@ def _composable() -> str:
 
 
 _LATIN_RANGE, _CYRILLIC_RANGE, _GREEK_RANGE = "A-Za-zªºÀ-ÖØ-öø-ɏḀ-ỿ", "Ѐ-ҁҊ-ԯ", "Ͱ-ͳͶͷͻ-ͽΆΈ-Ͽἀ-ῼ"
-_MARKS = "[\u0300-\u036f\u0483-\u0487]"
-
-
-#: What plain Cyrillic and basic Latin prose is written with: texts of nothing else hold no special character, accent or Greek.
-_ORDINARY = r"\n\x20-\x7eЀ-҂Ҋ-ӿ«»—–№…„“”’"
-
-
-def _mixed(a: str, b: str) -> str:
-    """A word in two scripts has two neighbouring letters of different ones, so neighbours are all that need be looked at."""
-    return f"[{a}]{_MARKS}*+[{b}]|[{b}]{_MARKS}*+[{a}]"
-
-
-def is_case(text: Column) -> Column:
-    """Whether a text holds a case. Cheap character classes go first; what they let through meets the exact patterns."""
-    marks = f"[{''.join(sorted({x[-1] for x in _composable().split('|')}))}]"
-    odd = text.rlike(f"[{ZERO_WIDTH}{BLANKS}{FULL_WIDTH}]") | (text.rlike(marks) & text.rlike(_composable()))
-    greek = text.rlike(f"[{_GREEK_RANGE}]") & text.rlike(_mixed(_GREEK_RANGE, _LATIN_RANGE + _CYRILLIC_RANGE))
-    latin = text.rlike(f"[{_CYRILLIC_RANGE}]") & text.rlike("[A-Za-zÀ-ɏ]") & text.rlike(_mixed("A-Za-zÀ-ɏḀ-ỿªº", _CYRILLIC_RANGE))
-    return (text.rlike(f"[^{_ORDINARY}]") & (odd | greek)) | latin
-
+_MARKS = "\u0300-\u036f\u0483-\u0487"
 
+#: What may make a text a case: a character of the fixed rules, an accent, a Greek letter, or a Latin one beside a Cyrillic one.
+_GATE = stdlib_re.compile(
+    f"[{ZERO_WIDTH}{BLANKS}{FULL_WIDTH}{_MARKS}{_GREEK_RANGE}{_LATIN_RANGE}](?:(?<=[{ZERO_WIDTH}{BLANKS}{FULL_WIDTH}{_MARKS}{_GREEK_RANGE}])|(?=[{_CYRILLIC_RANGE}])|(?<=[{_CYRILLIC_RANGE}].))"
+)
 _WORD = re.compile(r"[\p{L}\p{M}]+")
-_ZW, _BL, _FW = re.compile(f"[{ZERO_WIDTH}]"), re.compile(f"[{BLANKS}]"), re.compile(f"[{FULL_WIDTH}]")
+_ZW, _BL, _FW = (stdlib_re.compile(f"[{x}]") for x in (ZERO_WIDTH, BLANKS, FULL_WIDTH))
 _MARK = re.compile(r"\p{L}\p{Mn}+")
 _SCRIPTS = {"latin": re.compile(r"\p{Latin}"), "cyrillic": re.compile(r"\p{Cyrillic}"), "greek": re.compile(r"\p{Greek}")}
+_MIXED = stdlib_re.compile(
+    "|".join(f"[{a}][{_MARKS}]*[{b}]" for a, b in ((x, y) for x in (_LATIN_RANGE, _CYRILLIC_RANGE, _GREEK_RANGE) for y in (_LATIN_RANGE, _CYRILLIC_RANGE, _GREEK_RANGE) if x != y))
+)
+_ACCENTED = stdlib_re.compile(_composable())
 
 
 @functools.cache
@@ -91,56 +88,110 @@ def plain_form(text: str) -> str:
     return _MARK.sub(lambda m: unicodedata.normalize("NFC", m.group()), text)
 
 
-def mixed_tokens(text: str) -> list[tuple[str, str]]:
-    """(token, candidate) for each token that mixes scripts and could be written in one; the dominant script comes first."""
-    out: list[tuple[str, str]] = []
-    for token in dict.fromkeys(_WORD.findall(text)):
-        counts = {s: len(p.findall(token)) for s, p in _SCRIPTS.items()}
-        present = sorted((s for s, n in counts.items() if n), key=lambda s: -counts[s])
-        if len(present) < 2:
+def mixed_tokens(text: str) -> list[tuple[int, str, list[str]]]:
+    """(offset, token, repairs) of each token that mixes scripts: the token in its dominant script, or the next one if not all
+    its letters have look-alikes there; of two equally strong scripts both are given."""
+    if not _MIXED.search(text):
+        return []
+    out = []
+    for m in _WORD.finditer(text):
+        token = m.group()
+        if not _MIXED.search(token):
             continue
-        for script in present:
-            got = "".join(_to(script).get(c, c) for c in token)
-            if all(not p.search(got) for s, p in _SCRIPTS.items() if s != script):
-                out.append((token, got))
+        counts = {s: len(p.findall(token)) for s, p in _SCRIPTS.items()}
+        repairs: list[str] = []
+        for n in sorted({n for n in counts.values() if n}, reverse=True):
+            for script in (s for s in counts if counts[s] == n):
+                got = "".join(_to(script).get(c, c) for c in token)
+                if not any(p.search(got) for s, p in _SCRIPTS.items() if s != script):
+                    repairs.append(got)
+            if repairs:
+                break
+        out.append((m.start(), token, repairs))
     return out
 
 
-def cases(df: DataFrame) -> DataFrame:
-    """(tab, row_key, text) -> the same, only rows that hold a case; repeated rows collapse. No Python."""
-    return df.select("tab", "row_key", "text").filter(is_case(F.col("text"))).dropDuplicates()
+def repair(text: str | None) -> tuple[str | None, list[tuple[int, str, list[str]]], bool]:
+    """(text in plain form, its mixed tokens, whether the text is a case)."""
+    if not text or not _GATE.search(text):
+        return text, [], False
+    plain = plain_form(text)
+    mixed = mixed_tokens(plain)
+    case = bool(mixed or _ZW.search(text) or _BL.search(text) or _FW.search(text) or _ACCENTED.search(text))
+    return plain, mixed, case
+
+
+def found(df: DataFrame, leave_out: Callable[[str, str], bool] | None = None) -> DataFrame:
+    """(tab, row_key, text) -> (tab, row_key) of the cases; repeated rows collapse.
+
+    leave_out: a function of (tab, text), run for cases only, that names those that are to be left out.
+    """
+
+    def make():
+        def each(tab, key, text):
+            if repair(text)[2] and not (leave_out and leave_out(tab, text)):
+                yield tab, key
+
+        return each
+
+    return map_rows(df.select("tab", "row_key", "text"), make, "tab string, row_key string").dropDuplicates()
+
+
+def vocabulary(texts: DataFrame, text: str = "text") -> DataFrame:
+    """(known): the distinct words of two letters and more in one script, in small letters; full-width letters and accents in plain form."""
+
+    def make():
+        given: set[str] = set()
+
+        def each(column):
+            new: set[str] = set()
+            for t in column:
+                if t:
+                    new.update(_WORDS.findall((plain_form(t) if _GATE.search(t) else t).lower()))
+            new -= given
+            if len(given) > KNOWN_WORDS:
+                given.clear()
+            given.update(new)
+            return [[w for w in new if w.isascii() or not _MIXED.search(w)]]
+
+        return each
+
+    return map_columns(texts.select(text), make, "known string").distinct()
 
 
 def normalise(df: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
     """(tab, row_key, text) -> (tab, row_key, text) in one consistent form; repeated rows collapse.
 
     corpus: a frame whose column ``text`` gives the vocabulary, df itself by default. A word is in the vocabulary if it
-    stands somewhere in one script. Substituting a mixed token shuffles its few candidates and the distinct words.
+    stands somewhere in one script. Only rows with mixed tokens, their candidates and the distinct words are shuffled by word.
     """
     rows = df.select("tab", "row_key", "text").dropDuplicates()
-    hit = F.coalesce(is_case(F.col("text")), F.lit(False))
 
-    def make():
+    def make_plain():
+        def each(tab, key, text):
+            plain, mixed, _ = repair(text)
+            if not mixed:
+                yield tab, key, plain
+
+        return each
+
+    def make_mixed():
         def each(tab, key, text):
-            text = plain_form(text)
-            yield tab, key, text, mixed_tokens(text)
+            plain, mixed, _ = repair(text)
+            if mixed:
+                yield tab, key, plain, [(at, at + len(token), word, word.lower()) for at, token, repairs in mixed for word in repairs]
 
         return each
 
-    done = map_rows(rows.filter(hit), make, "tab string, row_key string, text string, mixed array<struct<token:string,word:string>>")
-    words = (
-        (df if corpus is None else corpus)
-        .select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{2,}"), F.lit(0))).alias("known"))
-        .distinct()
-    )
-    one = done.filter(F.size("mixed") > 0).select("tab", "row_key", "text", F.posexplode("mixed").alias("at", "m"))
-    wanted = one.select(F.lower("m.word").alias("known")).distinct()
-    known = wanted.join(words, "known", "left_semi")
-    fixed = (
-        one.withColumn("known", F.lower("m.word"))
-        .join(known.withColumn("ok", F.lit(True)), "known", "left")
-        .groupBy("tab", "row_key", "text")
-        .agg(F.array_sort(F.collect_list(F.when(F.col("ok"), F.struct("at", "m.token", "m.word")))).alias("subs"))
-        .select("tab", "row_key", F.expr("aggregate(subs, text, (t, s) -> replace(t, s.token, s.word))").alias("text"))
-    )
-    return rows.filter(~hit).unionByName(done.filter(F.size("mixed") == 0).select("tab", "row_key", "text")).unionByName(fixed)
+    plain = map_rows(rows, make_plain, "tab string, row_key string, text string")
+    mixed = written(map_rows(rows, make_mixed, "tab string, row_key string, text string, m array<struct<s:int,e:int,word:string,known:string>>"), "mixed")
+    one = mixed.select("tab", "row_key", F.explode("m").alias("m")).select("tab", "row_key", "m.*")
+    known = one.select("known").distinct().join(vocabulary(df if corpus is None else corpus), "known", "left_semi")
+    # Where both scripts give a known word, the first in the order of the code points is taken, so that results do not vary.
+    subs = one.join(known, "known").groupBy("tab", "row_key", "s").agg(F.min(F.struct("e", "word")).alias("w"))
+    subs = subs.groupBy("tab", "row_key").agg(F.array_sort(F.collect_list(F.struct("s", "w.e", "w.word"))).alias("subs"))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
+    step = lambda a, x: F.struct(x["e"].alias("at"), F.concat(a["done"], F.substr("text", a["at"] + 1, x["s"] - a["at"]), x["word"]).alias("done"))
+    end = lambda a: F.concat(a["done"], F.substr("text", a["at"] + 1, F.length("text")))
+    fixed = mixed.drop("m").join(subs, ["tab", "row_key"], "left").select("tab", "row_key", F.coalesce(F.aggregate("subs", start, step, end), "text").alias("text"))
+    return plain.unionByName(fixed)

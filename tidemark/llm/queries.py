@@ -43,19 +43,8 @@ def _p3_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.unionByName(_keyed(cases, "case_text", "id", "text")).unionByName(_keyed(cases, "case_expected", "id", "expected"))
 
 
-def _without_garbled(rows: DataFrame) -> DataFrame:
-    def make():
-        def each(tab, key, text):
-            if tab != "chunk" or not mojibake.is_garbled(text):
-                yield tab, key
-
-        return each
-
-    return map_rows(rows, make, "tab string, row_key string")
-
-
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _without_garbled(lookalike.cases(_p3_rows(spark, d))).dropDuplicates()
+    return lookalike.found(_p3_rows(spark, d), lambda tab, text: tab == "chunk" and mojibake.is_garbled(text))
 
 
 def p3_normalised(spark: SparkSession, d: str) -> DataFrame:
