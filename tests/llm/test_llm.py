@@ -307,13 +307,50 @@ def test_leakage_finds_planted_passages(spark):
 
 def test_automaton_holds_every_substring():
     its, *_ = corpus(3, items=6)
-    a = leakage.build(its, stock=99)
+    a = leakage.build(its, leakage.statistics((t for _, t in its), stock=99))
     for k, (_, seq) in enumerate(a.items):
         for s in range(0, len(seq), 5):
             state = 0
             for n, w in enumerate(seq[s : s + 7], 1):
                 state = a.step[state][w]
-                assert (k, s + n - 1) in a.ends[state]
+                assert (k, s + n - 1) in set(a.ends(state))
+
+
+def test_leaks_do_not_depend_on_blocks_and_nested_items_are_found(spark, monkeypatch):
+    its, pages, truth = corpus(5, items=30, pages=60)
+    its += [("nested", " ".join(its[0][1].split()[10:24])), ("copy", its[1][1]), ("hyphen", its[2][1].replace(" ", "-", 1))]
+    pages.append((500, "начало " + its[0][1] + " конец " + its[1][1]))
+    P = spark.createDataFrame([(d, t, None, 1) for d, t in pages], "doc_id long, text string, line_boxes array<struct<x0:int,x1:int>>, n_columns int")
+    I = spark.createDataFrame(its, "id string, text string")  # noqa: E741
+    whole = {(r.item_id, r.doc_id) for r in leakage.contaminated(P, I).collect()}
+    assert {("nested", 500), ("copy", 500), ("i0", 500), ("i1", 500)} <= whole and truth <= whole
+    monkeypatch.setattr(leakage, "BLOCK_ITEMS", 7)
+    assert {(r.item_id, r.doc_id) for r in leakage.contaminated(P, I).collect()} == whole
+    monkeypatch.setattr(leakage, "MOST_ITEMS", 10)
+    with pytest.raises(ValueError):
+        leakage.contaminated(P, I)
+
+
+def test_kept_text_is_as_it_stands_on_the_page(spark):
+    item = " ".join(WORDS[3:40])
+    text = "Кто-то при-\nшёл, из-за дождя; " + item.replace(" ", ", ", 3) + " — и по-прежнему"
+    P = spark.createDataFrame([(1, text, None, 1)], "doc_id long, text string, line_boxes array<struct<x0:int,x1:int>>, n_columns int")
+    got = leakage.without_leaks(P, spark.createDataFrame([("a", item)], "id string, text string"), most=1.0).collect()[0]
+    assert got.action == "cut" and got.text == "Кто-то при-\nшёл, из-за дождя;  — и по-прежнему" and got.leaked_words == 37
+
+
+def test_page_words_equal_those_of_the_reading_text():
+    rnd = random.Random(4)
+    bits = ["слово", "из-за", "при-", "foo-", "bar", "x_y", "¬", "a\u00ad", "б", "12-3", " ", ", ", "—", "\n", "\n"]
+    for _ in range(300):
+        text = "".join(rnd.choice(bits) + rnd.choice(["", " "]) for _ in range(rnd.randrange(1, 25)))
+        n = text.count("\n") + 1
+        left = [rnd.choice([80, 640]) for _ in range(n)]
+        right = [x + rnd.choice([400, 1000]) for x in left]
+        for cols in (1, 2):
+            got, places = leakage.page_words(text, left, right, cols)
+            want = leakage.words(layout.reading_text(text, left, right, cols))
+            assert "".join(got) == "".join(want) and len(got) == len(places)
 
 
 def test_columns_are_put_in_order():

@@ -1,66 +1,123 @@
 """Problem 7: evaluation items printed in training pages.
 
 Method: a generalised suffix automaton over the words of the normalised test items. Pages are streamed through it word by
-word in reading order, tracking the longest matching length; a match that is long enough and not a stock phrase (one that
-stands in many items) seeds its item. For a seeded item all common runs in the page around the seed are chained in order,
-gaps are filled with misread words, and the item leaked if the chain covers enough of its words. Spans found that way
-can be cut from the page.
+word in reading order, tracking the longest matching length; a match that is long enough and not a stock phrase (one whose
+runs of RUN words all stand in many items) seeds its item, and every item that shares that run with it. For a seeded item
+all common runs in the page around the seed are chained in order, gaps are filled with misread words, and the item leaked
+if the chain covers enough of its words. Spans found that way can be cut from the page.
 
-Only the items are held in memory, in blocks of at most BLOCK_ITEMS items; the corpus is read once for each block, is never
-shuffled, and only (item, page) rows leave a task.
+Only the items are held in memory, in blocks of at most BLOCK_ITEMS items; what counts as a stock phrase and the bits of a
+run are computed over all items once, so that results do not depend on the blocks. The corpus is read once for each block,
+is never shuffled, and only (item, page) rows leave a task.
 
 Defined results: null and empty pages and items yield nothing; items with fewer than MIN_WORDS words leak only in full;
-an item whose words carry fewer than SEED_BITS bits in all is a stock phrase and is never reported; repeated rows collapse.
+an item whose words carry fewer than SEED_BITS bits in all is a stock phrase and is never reported; items of equal words
+count once for the stock limit and leak together; repeated rows collapse.
 """
 
 from __future__ import annotations
 
-import functools
 import re
+import uuid
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import accumulate
 from math import log2
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrow import map_rows
-from tidemark.llm.layout import reading_text
+from tidemark.llm.layout import BREAKS, line_order
 
-BLOCK_ITEMS = 4096
+BLOCK_ITEMS, MOST_ITEMS = 4096, 1_000_000
 #: Bits of a common run, under the word pairs of the items, from which chance no longer explains it (one run in about a thousand pages).
 SEED_BITS = 33.0
 STOCK_SHARE, STOCK_LEAST = 0.02, 4
 #: Share of the words of the item, and of those between its first and last word found.
 COVERAGE, DENSITY, MIN_WORDS = 0.5, 0.7, 8
 MAX_GAP = 40
+#: Words of the shortest run that can seed an item, and of the runs whose frequency tells stock phrases.
+RUN = 4
 KNOWN_WORDS = 200_000
 
 _HYPHEN = re.compile(r"(?<=\w)[-‐‑](?=\w)")
 _WORDS = re.compile(r"[^\W_]+")
+_WORDS_HYPHEN = re.compile(r"[^\W_]+(?:[-‐‑][^\W_]+)*")
 
 
 def words(text: str) -> list[str]:
     return _WORDS.findall(_HYPHEN.sub("", text).casefold())
 
 
+def page_words(text: str, left: list[int] | None, right: list[int] | None, columns: int | None) -> tuple[list[str], list[list[tuple[int, int]]]]:
+    """The words of a page in reading order, as words(reading_text(...)) gives them, and where each stands in the page as it is."""
+    out: list[str] = []
+    places: list[list[tuple[int, int]]] = []
+    broken = False
+    for lo, hi in line_order(text, left, right, columns):
+        for m in _WORDS_HYPHEN.finditer(text, lo, hi):
+            word = "".join(_WORDS.findall(m.group().casefold()))
+            if broken and m.start() == lo:
+                out[-1] += word
+                places[-1].append(m.span())
+            else:
+                out.append(word)
+                places.append([m.span()])
+            broken = False
+        broken = hi > lo and text[hi - 1] in BREAKS and bool(places) and places[-1][-1][1] == hi - 1
+    return out, places
+
+
+@dataclass
+class Statistics:
+    """What is counted over all items: words, pairs of words, and in how many different items each run of RUN words stands."""
+
+    one: Counter
+    two: Counter
+    runs: Counter
+    items: int
+    stock: int
+    total: int
+
+
+def statistics(texts: Iterable[str], stock: int | None = None) -> Statistics:
+    seqs = {tuple(words(t)) for t in texts}
+    runs = Counter(r for s in seqs for r in {s[i : i + RUN] for i in range(len(s) - RUN + 1)})
+    return Statistics(
+        Counter(w for s in seqs for w in s), Counter(x for s in seqs for x in zip(s, s[1:])), runs, len(seqs), max(STOCK_LEAST, int(STOCK_SHARE * len(seqs))) if stock is None else stock, sum(map(len, seqs))
+    )
+
+
 @dataclass
 class Automaton:
-    """Suffix automaton of several word sequences; for states that are no stock phrase, where they end in which item."""
+    """Suffix automaton of several different word sequences, with the items that have each and where its states end."""
 
-    items: list[tuple[str, list[int]]]
+    items: list[tuple[tuple[str, ...], list[int]]]
     vocabulary: dict[str, int]
     step: list[dict[int, int]]
     link: list[int]
     length: list[int]
-    ends: list[tuple[tuple[int, int], ...] | None]
+    own: list[list[tuple[int, int]]]
+    below: list[list[int]]
+    stands: list[list[bool]]
+    shared: list[list[tuple[int, int, int, int]]] = field(default_factory=list)
     at: list[dict[int, list[int]]] = field(default_factory=list)
     first_bits: list[list[float]] = field(default_factory=list)
     sum_bits: list[list[float]] = field(default_factory=list)
     deletes: dict[str, list[str]] = field(default_factory=dict)
     known: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
+    def ends(self, state: int) -> Iterator[tuple[int, int]]:
+        """(sequence, position) of the last word of each place at which the runs of a state stand."""
+        todo = [state]
+        while todo:
+            v = todo.pop()
+            yield from self.own[v]
+            todo += self.below[v]
+
     def bits(self, k: int, start: int, n: int) -> float:
         return self.first_bits[k][start] + self.sum_bits[k][start + n] - self.sum_bits[k][start + 1]
 
@@ -112,9 +169,14 @@ def alike(x: str, y: str) -> bool:
     return abs(len(x) - len(y)) <= 2 and _distance(x, y) <= (1 if n < 7 else 2)
 
 
-def build(items: list[tuple[str, str]], stock: int | None = None) -> Automaton:
+def build(items: list[tuple[str, str]], stats: Statistics | None = None) -> Automaton:
+    """The automaton of a block of items (id, text), under the statistics of all items (of these, if none are given)."""
+    stats = stats or statistics(t for _, t in items)
+    by_words: dict[tuple[str, ...], list[str]] = {}
+    for i, t in items:
+        by_words.setdefault(tuple(words(t)), []).append(i)
     vocabulary: dict[str, int] = {}
-    seqs = [(i, [vocabulary.setdefault(w, len(vocabulary)) for w in words(t)]) for i, t in items]
+    seqs = [(tuple(ids), [vocabulary.setdefault(w, len(vocabulary)) for w in seq]) for seq, ids in by_words.items()]
     step: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     own: list[list[tuple[int, int]]] = [[]]
@@ -126,58 +188,43 @@ def build(items: list[tuple[str, str]], stock: int | None = None) -> Automaton:
                 last = q
                 own[last].append((k, pos))
                 continue
+            p, clone = last, None
+            if q is not None:
+                # The way exists but leads to longer runs only: a state of its own for the shorter ones, where this item ends.
+                clone = _clone(step, link, length, own, last, w, q)
+                last = clone
+                own[last].append((k, pos))
+                continue
             cur = len(step)
             step.append({})
             link.append(0)
             length.append(length[last] + 1)
             own.append([(k, pos)])
-            p = last
             while p != -1 and w not in step[p]:
                 step[p][w] = cur
                 p = link[p]
             if p != -1:
                 q = step[p][w]
-                if length[p] + 1 == length[q]:
-                    link[cur] = q
-                else:
-                    clone = len(step)
-                    step.append(dict(step[q]))
-                    link.append(link[q])
-                    length.append(length[p] + 1)
-                    own.append([])
-                    while p != -1 and step[p].get(w) == q:
-                        step[p][w] = clone
-                        p = link[p]
-                    link[q] = clone
-                    link[cur] = clone
+                link[cur] = q if length[p] + 1 == length[q] else _clone(step, link, length, own, p, w, q)
             last = cur
-    stock = max(STOCK_LEAST, int(STOCK_SHARE * len(seqs))) if stock is None else stock
-    everywhere: list[set | None] = [set(o) for o in own]
-    for v in sorted(range(1, len(step)), key=lambda v: -length[v]):
-        p = link[v]
-        if p > 0 and everywhere[p] is not None:
-            if everywhere[v] is None:
-                everywhere[p] = None
-            else:
-                everywhere[p] |= everywhere[v]
-                if len({k for k, _ in everywhere[p]}) > stock:
-                    everywhere[p] = None
-    ends = [tuple(sorted(e)) if e is not None and len({k for k, _ in e}) <= stock else None for e in everywhere]
-    ends[0] = None
+    below: list[list[int]] = [[] for _ in step]
+    for v in range(1, len(step)):
+        below[link[v]].append(v)
+    text = list(by_words)
+    stands = [[stats.runs[s[i : i + RUN]] <= stats.stock for i in range(len(s) - RUN + 1)] for s in text]
     at = []
     for _, seq in seqs:
         places: dict[int, list[int]] = {}
         for pos, w in enumerate(seq):
             places.setdefault(w, []).append(pos)
         at.append(places)
-    a = Automaton(seqs, vocabulary, step, link, length, ends, at)
-    one = Counter(w for _, seq in seqs for w in seq)
-    two = Counter(x for _, seq in seqs for x in zip(seq, seq[1:]))
-    total = sum(one.values())
-    for _, seq in seqs:
-        a.first_bits.append([-log2(one[w] / total) for w in seq])
-        then = [0.0] + [-log2(0.5 * two[x, w] / one[x] + 0.5 * one[w] / total) for x, w in zip(seq, seq[1:])]
+    a = Automaton(seqs, vocabulary, step, link, length, own, below, stands, at=at)
+    total = stats.total
+    for s in text:
+        a.first_bits.append([-log2(stats.one[w] / total) for w in s])
+        then = [0.0] + [-log2(0.5 * stats.two[x, w] / stats.one[x] + 0.5 * stats.one[w] / total) for x, w in zip(s, s[1:])]
         a.sum_bits.append([0.0, *accumulate(then)])
+    a.shared = _shared(a)
     for w in vocabulary:
         if len(w) >= 4 and not w.isdigit():
             for d in _deletes(w):
@@ -186,20 +233,84 @@ def build(items: list[tuple[str, str]], stock: int | None = None) -> Automaton:
     return a
 
 
+def _clone(step, link, length, own, p: int, w: int, q: int) -> int:
+    """Parts the shorter runs of state q, which follow state p by word w, from the longer ones."""
+    c = len(step)
+    step.append(dict(step[q]))
+    link.append(link[q])
+    length.append(length[p] + 1)
+    own.append([])
+    while p != -1 and step[p].get(w) == q:
+        step[p][w] = c
+        p = link[p]
+    link[q] = c
+    return c
+
+
+def _shared(a: Automaton) -> list[list[tuple[int, int, int, int]]]:
+    """For each sequence the maximal runs it has in common with others: (its position, other, position there, words).
+
+    Found by runs of RUN words that are no stock phrase, so that a place meets at most as many others as the stock limit.
+    """
+    by_run: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+    for k, (_, seq) in enumerate(a.items):
+        for i in range(len(seq) - RUN + 1):
+            if a.stands[k][i]:
+                by_run.setdefault(tuple(seq[i : i + RUN]), []).append((k, i))
+    out: list[list[tuple[int, int, int, int]]] = [[] for _ in a.items]
+    for k, (_, seq) in enumerate(a.items):
+        last: dict[tuple[int, int], int] = {}  # (other, shift) -> the run last found there
+        for i in range(len(seq) - RUN + 1):
+            for other, o in by_run.get(tuple(seq[i : i + RUN]), ()):
+                if other == k:
+                    continue
+                x = last.get((other, o - i))
+                if x is not None and out[k][x][0] + out[k][x][3] == i + RUN - 1:
+                    start, _, there, n = out[k][x]
+                    out[k][x] = (start, other, there, n + 1)
+                else:
+                    last[other, o - i] = len(out[k])
+                    out[k].append((i, other, o, RUN))
+    return out
+
+
 def seeds(a: Automaton, ids: list[int]) -> dict[int, list[tuple[int, int, int]]]:
-    """Item -> (page position, item position, words) of maximal matches with enough information that are no stock phrase."""
+    """Sequence -> (page position, item position, words) of maximal matches with enough information that are no stock phrase."""
     out: dict[int, list[tuple[int, int, int]]] = {}
-    step, link, length, ends = a.step, a.link, a.length, a.ends
+    step, link, length = a.step, a.link, a.length
+
+    def add(k: int, page: int, pos: int, n: int) -> bool:
+        if a.bits(k, pos, n) < SEED_BITS or not any(a.stands[k][pos : pos + n - RUN + 1]):
+            return False
+        out.setdefault(k, []).append((page, pos, n))
+        return True
+
+    def match(state: int, n: int, end: int) -> None:
+        done: set[int] = set()
+        while n >= RUN:
+            for k, e in a.ends(state):
+                if k in done:
+                    continue
+                start = e - n + 1
+                if not add(k, end - n, start, n):
+                    return  # too common or too short here, hence in all that have this run, and in its endings
+                done.add(k)
+                # Passages that other items have in common with this one stand on the page as well.
+                for i, other, o, m in a.shared[k]:
+                    lo, hi = max(i, start), min(i + m, e + 1)
+                    if other not in done and hi - lo >= RUN:
+                        add(other, end - n + lo - start, o + lo - i, hi - lo)
+            state = link[state]
+            n = length[state] if state > 0 else 0
+
     state = n = 0
     for j, w in enumerate(ids):
         nxt = step[state].get(w) if w >= 0 else None
         if nxt is not None:
             state, n = nxt, n + 1
             continue
-        if n >= 4 and ends[state] is not None:
-            for k, e in ends[state]:
-                if a.bits(k, e - n + 1, n) >= SEED_BITS:
-                    out.setdefault(k, []).append((j - n, e - n + 1, n))
+        if n >= RUN:
+            match(state, n, j)
         if w < 0:
             state = n = 0
             continue
@@ -208,10 +319,8 @@ def seeds(a: Automaton, ids: list[int]) -> dict[int, list[tuple[int, int, int]]]
             n = length[state]
         nxt = step[state].get(w)
         state, n = (nxt, n + 1) if nxt is not None else (0, 0)
-    if n >= 4 and ends[state] is not None:
-        for k, e in ends[state]:
-            if a.bits(k, e - n + 1, n) >= SEED_BITS:
-                out.setdefault(k, []).append((len(ids) - n, e - n + 1, n))
+    if n >= RUN:
+        match(state, n, len(ids))
     return out
 
 
@@ -293,15 +402,26 @@ def leaked(a: Automaton, tokens: list[str]) -> list[tuple[int, float, int, int]]
     return out
 
 
-@functools.lru_cache(maxsize=4)
-def _cached(items: tuple[tuple[str, str], ...]) -> Automaton:
-    return build(list(items))
+_automata: dict[str, Automaton] = {}
 
 
-def _blocks(items: DataFrame) -> list[tuple[tuple[str, str], ...]]:
-    """The held-out items, at most BLOCK_ITEMS in memory of one worker at a time. Test sets are bounded; corpora never come here."""
-    rows = sorted({(r[0], r[1]) for r in items.select("id", "text").filter("id is not null and length(text) > 0").distinct().toLocalIterator()})
-    return [tuple(rows[i : i + BLOCK_ITEMS]) for i in range(0, len(rows), BLOCK_ITEMS)]
+def _cached(key: str, block: Broadcast) -> Automaton:
+    """The automaton of a block, built once in each worker process."""
+    if key not in _automata:
+        while len(_automata) >= 2:
+            _automata.pop(next(iter(_automata)))
+        _automata[key] = build(*block.value)
+    return _automata[key]
+
+
+def _blocks(items: DataFrame) -> tuple[list[list[tuple[str, str]]], Statistics]:
+    """The held-out items, at most BLOCK_ITEMS in memory of one worker at a time, and the statistics of them all. Test sets are
+    what people write, at most MOST_ITEMS: more raise an error, as corpora never belong here."""
+    rows = items.select("id", "text").filter("id is not null and length(text) > 0").distinct().limit(MOST_ITEMS + 1).collect()
+    if len(rows) > MOST_ITEMS:
+        raise ValueError(f"more than {MOST_ITEMS} test items; pass a part of them at a time")
+    rows = sorted((r[0], r[1]) for r in rows)
+    return [rows[i : i + BLOCK_ITEMS] for i in range(0, len(rows), BLOCK_ITEMS)], statistics(t for _, t in rows)
 
 
 def contaminated(pages: DataFrame, items: DataFrame) -> DataFrame:
@@ -310,14 +430,19 @@ def contaminated(pages: DataFrame, items: DataFrame) -> DataFrame:
         "doc_id", "text", F.col("line_boxes.x0").alias("x0"), F.col("line_boxes.x1").alias("x1"), "n_columns"
     )
     out = None
-    for block in _blocks(items):
+    blocks, stats = _blocks(items)
+    for block in blocks:
+        needed = {w for _, t in block for w in words(t)}
+        own = Statistics(Counter({w: n for w, n in stats.one.items() if w in needed}), Counter({x: n for x, n in stats.two.items() if needed.issuperset(x)}), Counter({r: n for r, n in stats.runs.items() if needed.issuperset(r)}), stats.items, stats.stock, stats.total)
+        sent = cols.sparkSession.sparkContext.broadcast((block, own))  # at most BLOCK_ITEMS items
 
-        def make(block=block):
-            a = _cached(block)
+        def make(sent=sent, key=uuid.uuid4().hex):
+            a = _cached(key, sent)
 
             def each(doc, text, x0, x1, n):
-                for k, share, lo, hi in leaked(a, words(reading_text(text, x0, x1, n))):
-                    yield a.items[k][0], doc, round(share, 4), lo, hi
+                for k, share, lo, hi in leaked(a, page_words(text, x0, x1, n)[0]):
+                    for item in a.items[k][0]:
+                        yield item, doc, round(share, 4), lo, hi
 
             return each
 
@@ -329,7 +454,7 @@ def contaminated(pages: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def without_leaks(pages: DataFrame, items: DataFrame, most: float = 0.2) -> DataFrame:
-    """(doc_id, text, leaked_words, words, action): pages in reading order without the leaked spans.
+    """(doc_id, text, leaked_words, words, action): pages without the leaked words; all else stays as it stands on the page.
 
     Spans are cut ('cut'); a page of which more than ``most`` leaked is dropped from training (text null, 'drop').
     """
@@ -342,20 +467,21 @@ def without_leaks(pages: DataFrame, items: DataFrame, most: float = 0.2) -> Data
             if not spans or not text:
                 yield doc, text, 0, None, "keep"
                 return
-            page = reading_text(text, x0, x1, n)
-            plain = _HYPHEN.sub("", page)
-            places = [(m.start(), m.end()) for m in _WORDS.finditer(plain)]
+            _, places = page_words(text, x0, x1, n)
             gone = sorted({w for s in spans for w in range(s["first_word"], min(s["past_word"], len(places)))})
             if len(gone) > most * len(places):
                 yield doc, None, len(gone), len(places), "drop"
                 return
-            kept, at, g = [], 0, set(gone)
-            for w, (lo, hi) in enumerate(places):
-                if w in g:
-                    if w - 1 not in g:
-                        kept.append(plain[at:lo])
+            cuts = sorted(p for w in gone for p in places[w])
+            kept, at = [], 0
+            for k, (lo, hi) in enumerate(cuts):
+                # What stands between two cut words that follow each other on the page goes with them.
+                if k and not _WORDS.search(text, cuts[k - 1][1], lo):
                     at = hi
-            yield doc, "".join(kept) + plain[at:], len(gone), len(places), "cut"
+                    continue
+                kept.append(text[at:lo])
+                at = hi
+            yield doc, "".join(kept) + text[at:], len(gone), len(places), "cut"
 
         return each
 
