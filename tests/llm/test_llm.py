@@ -169,7 +169,7 @@ def test_split_files_agrees_with_text(spark, tmp_path):
     path = tmp_path / "big.txt"
     path.write_text(text)
     for size in (700, 5000, 1 << 20):
-        p = sorted(splitting.split_files(spark, [str(path)], 120, 15, size).collect(), key=lambda r: r.piece)
+        p = sorted(splitting.split_files(spark, str(tmp_path), 120, 15, size).collect(), key=lambda r: r.piece)
         end = 0
         for k, x in enumerate(p):
             assert x.piece == k and len(x.text) <= 120 and text[x.char_start : x.char_start + len(x.text)] == x.text and x.char_start == max(0, end - 15)
@@ -178,6 +178,35 @@ def test_split_files_agrees_with_text(spark, tmp_path):
         assert end == len(text)
 
 
+def test_split_files_counts_bytes_that_are_no_utf8(spark, tmp_path):
+    rnd = random.Random(6)
+    data = b"".join(rnd.choice(["слово ".encode(), b"\xff\xfe", b"word. ", b"\x80" * 7, "字".encode(), b"\xd0 "]) for _ in range(3000))
+    (tmp_path / "bad.txt").write_bytes(data)
+    want = re.sub("[\udc80-\udcff]", "\ufffd", data.decode("utf-8", "surrogateescape"))
+    for size in (500, 1 << 20):
+        end = 0
+        for x in sorted(splitting.split_files(spark, str(tmp_path), 120, 100, size).collect(), key=lambda r: r.piece):
+            assert want[x.char_start : x.char_start + len(x.text)] == x.text and len(x.text) <= 120 and x.char_start == max(0, end - 100)
+            assert re.sub("[\udc80-\udcff]", "\ufffd", data[x.byte_start :].decode("utf-8", "surrogateescape")).startswith(x.text)
+            end = x.char_start + len(x.text)
+        assert end == len(want)
+
+
+def test_splitting_keeps_a_run_whole_and_takes_any_overlap():
+    text = "слово " * 16 + "а" * 1150 + " конец " * 40
+    p = splitting.choose(splitting.in_ranges(text), len(text), 1200, 0)
+    assert p[0] == (0, 96, False) and not any(h for *_, h in p)
+    for overlap in (0, 90, 99, 500):
+        _, o = splitting.settings(100, overlap)
+        assert o == min(overlap, 99)
+        p = splitting.choose(splitting.in_ranges("слово " * 60), 360, 100, o)
+        assert all(b[0] == a[1] - o and b[1] > a[1] for a, b in zip(p, p[1:])) and max(e - s for s, e, _ in p) <= 100
+    rnd = random.Random(9)
+    for _ in range(200):
+        t = "".join(rnd.choice(["а" * rnd.randrange(1, 40), " ", "—"]) for _ in range(12))
+        assert splitting.longest_run(t, 16) == max(map(len, re.findall(r"[^\W_]+", t)), default=0)
+
+
 # ---- 5 -------------------------------------------------------------------------------------------------------------------
 
 

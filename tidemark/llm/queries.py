@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import abuse, leakage, lookalike, mixing, mojibake, pii, repeats, sentences, splitting
 from tidemark.llm.arrow import map_rows, read
+from tidemark.session import checkpoint_dir
 
 
 def _keyed(df: DataFrame, tab: str, key: str, text: str) -> DataFrame:
@@ -61,6 +63,18 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.renumber(splitting.split_rows(items))
 
 
+def p4_files(spark: SparkSession, d: str) -> DataFrame:
+    """The newspaper pages, joined by source into files in the shared folder, cut by byte ranges: (source, file, piece, byte_start, char_start, text).
+
+    Files hold ranges of (source, doc_id), so that the pages of a large source are spread over several.
+    """
+    pages = read(spark, d, "documents").select("source", "doc_id", "text").filter("source is not null and text is not null").dropDuplicates(["doc_id"])
+    folder = f"{checkpoint_dir(spark)}/tidemark-files-{uuid.uuid4().hex}"
+    pages.repartitionByRange("source", "doc_id").sortWithinPartitions("source", "doc_id").select("source", "text").write.partitionBy("source").text(folder)
+    got = splitting.split_files(spark, folder, range_bytes=1 << 20)
+    return got.select(F.regexp_extract("path", "source=([^/]*)/", 1).alias("source"), F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("file"), "piece", "byte_start", "char_start", "text")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     got = repeats.repeated_lines(read(spark, d, "rag_chunks"), read(spark, d, "rag_documents"))
     return got.select("id", "line_no").dropDuplicates()
@@ -144,7 +158,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p1_redacted, p2_found, p2_restored, p3_found, p3_normalised, p4_found, p4_pieces, p5_found, p5_lines, p5_chunks]
+    own = [p1_found, p1_redacted, p2_found, p2_restored, p3_found, p3_normalised, p4_found, p4_pieces, p4_files, p5_found, p5_lines, p5_chunks]
     own += [p6_found, p6_units, p7_found, p7_items, p7_cut, p8_mix, p8_order, p8_shares, p9_found, p9_scores, p9_rates]
     return {f.__name__: f for f in own}
 

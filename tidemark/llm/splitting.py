@@ -3,20 +3,23 @@
 Method: byte-range processing. Workers detect boundaries in ranges with halos, boundary tables are stitched, lengths are
 prefix-summed, and pieces are emitted by offset. split_files does this for files of any size without loading one whole:
 each range finds its own first border and that of the next range from its halo, so neighbours agree without talking, and
-only one summary row a range is shuffled. split_rows applies the same detection and choice to texts that are rows.
+only one summary row a range is shuffled. Files are read through Arrow's file systems (mounted folders, HDFS, object stores).
+split_rows applies the same to texts that are rows: boundaries and unbroken runs are found range by range and stitched.
 
 Rules: a piece has at most ``limit`` code points; a cut is put behind the strongest boundary in the second half of the
 piece (line break, then sentence end, then clause mark, then blank; the latest of equals), or behind the latest in the first
 half if the second has none; where an unbroken run leaves no boundary behind the overlap the cut is hard. Each piece but the first starts exactly ``overlap`` code points before the end of the one before.
 
 Defined results: null and empty texts and texts within the limit come back as one piece; a null limit or overlap takes the
-default; pieces with a null doc_id or chunk_id are numbered among themselves; a limit below 1 counts as 1; an overlap is at most half of the limit, so that every piece makes progress.
+default; pieces with a null doc_id or chunk_id are numbered among themselves; a limit below 1 counts as 1, an overlap of the
+limit or more as one less, so that every piece makes progress; bytes that are no UTF-8 count as one character (U+FFFD) each.
 """
 
 from __future__ import annotations
 
-import os
+import re as stdlib_re
 
+import pyarrow.fs as arrow_fs
 import regex as re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +28,8 @@ from pyspark.sql.window import Window
 from tidemark.llm.arrow import map_rows
 
 LIMIT, OVERLAP = 1200, 150
-RANGE, HALO = 1 << 16, 256
+#: Characters of a range of a text that is a row, and of its halo.
+RANGE, HALO = 1 << 11, 256
 ID_BLOCK = 256
 
 _BOUNDARY = re.compile(
@@ -55,7 +59,7 @@ def in_ranges(text: str, size: int = RANGE, halo: int = HALO) -> list[tuple[int,
 
 def settings(limit: int | None, overlap: int | None) -> tuple[int, int]:
     limit = max(1, LIMIT if limit is None else limit)
-    return limit, min(max(0, OVERLAP if overlap is None else overlap), limit // 2)
+    return limit, min(max(0, OVERLAP if overlap is None else overlap), limit - 1)
 
 
 def choose(table: list[tuple[int, int]], n: int, limit: int, overlap: int, start: int = 0) -> list[tuple[int, int, bool]]:
@@ -80,9 +84,19 @@ def choose(table: list[tuple[int, int]], n: int, limit: int, overlap: int, start
     return out
 
 
-def unbroken(text: str, limit: int) -> bool:
-    """Whether a run of letters and digits is longer than the limit."""
-    return len(text) > limit and any(m.end() - m.start() > limit for m in _RUN.finditer(text))
+def longest_run(text: str, size: int = RANGE) -> int:
+    """The longest unbroken run of letters and digits: each range tells its first, longest and last run, which are stitched."""
+    best = open_ = 0  # open_: the run that reaches the end of the ranges so far
+    for lo in range(0, len(text), size):
+        hi = min(len(text), lo + size)
+        runs = [m.span() for m in _RUN.finditer(text, lo, hi)]
+        if runs and runs[0] == (lo, hi):
+            open_ += hi - lo
+        else:
+            first = runs[0][1] - lo if runs and runs[0][0] == lo else 0
+            best = max([best, open_ + first, *(b - a for a, b in runs)])
+            open_ = hi - runs[-1][0] if runs and runs[-1][1] == hi else 0
+    return max(best, open_)
 
 
 def split_rows(items: DataFrame) -> DataFrame:
@@ -97,7 +111,7 @@ def split_rows(items: DataFrame) -> DataFrame:
             if text is None or len(text) <= limit:
                 yield doc, chunk, 0, 0, text, None
                 return
-            cut = "hard" if unbroken(text, limit) else "soft"
+            cut = "hard" if longest_run(text) > limit else "soft"
             for k, (s, e, _) in enumerate(choose(in_ranges(text), len(text), limit, overlap)):
                 yield doc, chunk, k, s, text[s:e], cut
 
@@ -155,13 +169,32 @@ def renumber(pieces: DataFrame) -> DataFrame:
 
 
 def _read(path: str, lo: int, hi: int) -> bytes:
-    with open(path, "rb") as f:
+    system, name = arrow_fs.FileSystem.from_uri(path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path)
+    with system.open_input_file(name) as f:
         f.seek(lo)
         return f.read(hi - lo)
 
 
+def _decode(data: bytes) -> str:
+    """Bytes that are no UTF-8 as one lone surrogate each, so that lengths in bytes are not lost; _shown makes them U+FFFD."""
+    return data.decode("utf-8", "surrogateescape")
+
+
+def _n_bytes(text: str) -> int:
+    return len(text.encode("utf-8", "surrogateescape"))
+
+
+_LOST = stdlib_re.compile("[\udc80-\udcff]")
+
+
+def _shown(text: str) -> str:
+    return _LOST.sub("�", text)
+
+
 def _start_of_char(data: bytes, at: int) -> int:
-    while at < len(data) and data[at] & 0xC0 == 0x80:
+    """The start of the next character, at most three bytes on: longer runs of tail bytes are no characters."""
+    end = min(len(data), at + 3)
+    while at < end and data[at] & 0xC0 == 0x80:
         at += 1
     return at
 
@@ -169,22 +202,22 @@ def _start_of_char(data: bytes, at: int) -> int:
 def _border(data: bytes, at: int, reach: int) -> int:
     """The border of a range: behind the strongest, then first, boundary within reach; the next character if there is none."""
     at = _start_of_char(data, at)
-    text = data[at : at + reach].decode("utf-8", "ignore")
+    end = min(len(data), at + reach)
+    text = _decode(data[at : end if end == len(data) else _start_of_char(data, end)])
     best = max(boundaries(text), key=lambda b: (b[1], -b[0]), default=None)
-    return at + len(text[: best[0]].encode()) if best else at
+    return at + _n_bytes(text[: best[0]]) if best else at
 
 
-def split_files(spark: SparkSession, paths: list[str], limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = 8 << 20) -> DataFrame:
-    """UTF-8 files on a folder that all workers see -> (path, piece, byte_start, char_start, text).
+def split_files(spark: SparkSession, folder: str, limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = 8 << 20) -> DataFrame:
+    """UTF-8 files in a folder that all workers see (and its subfolders) -> (path, piece, byte_start, char_start, text).
 
     One task holds one range and its halos. A range summary (its pieces and characters) is all that is shuffled.
     """
     limit, overlap = settings(limit, overlap)
     reach, back = 4 * limit + HALO, 4 * overlap + HALO
-    sizes = [(p, os.path.getsize(p)) for p in paths]
-    files = spark.createDataFrame(sizes, "path string, size long")
-    ranges = files.filter("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / range_bytes))).alias("r"))
-    ranges = ranges.repartition(max(1, sum(s // range_bytes + 1 for _, s in sizes)), "path", "r")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("size")).filter("size > 0")
+    ranges = files.select("path", "size", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / range_bytes))).alias("r"))
+    ranges = ranges.repartition("path", "r")
 
     def make():
         def each(path, size, r):
@@ -193,26 +226,25 @@ def split_files(spark: SparkSession, paths: list[str], limit: int = LIMIT, overl
             data = _read(path, base, min(size, lo + range_bytes + reach))
             a = 0 if r == 0 else _border(data, lo - base, reach)
             b = len(data) if lo + range_bytes >= size else _border(data, lo + range_bytes - base, reach)
-            head = data[_start_of_char(data, 0) : a].decode("utf-8", "replace") if r else ""
-            body = data[a:b].decode("utf-8", "replace")
+            head = _decode(data[_start_of_char(data, 0) : a]) if r else ""
+            body = _decode(data[a:b])
             lead = head[-overlap:] if overlap else ""
             text = lead + body
             chars = len(body)
-            at, at_byte = 0, base + a - len(lead.encode())
-            table = in_ranges(text)
+            at, at_byte = 0, base + a - _n_bytes(lead)
             if not body:
                 yield path, r, 0, at_byte, 0, chars, None
                 return
-            for k, (s, e, _) in enumerate(choose(table, len(text), limit, overlap)):
-                at_byte += len(text[at:s].encode()) if s >= at else -len(text[s:at].encode())
+            for k, (s, e, _) in enumerate(choose(in_ranges(text), len(text), limit, overlap)):
+                at_byte += _n_bytes(text[at:s]) if s >= at else -_n_bytes(text[s:at])
                 at = s
-                yield path, r, k, at_byte, s - len(lead), chars, text[s:e]
+                yield path, r, k, at_byte, s - len(lead), chars, _shown(text[s:e])
 
         return each
 
-    pieces = map_rows(ranges.select("path", "size", "r"), make, "path string, r long, k int, byte_start long, char_in_range long, chars long, text string")
+    pieces = map_rows(ranges, make, "path string, r long, k int, byte_start long, char_in_range long, chars long, text string")
     per = pieces.groupBy("path", "r").agg(F.max("chars").alias("chars"), F.count("text").alias("n"))
-    w = Window.partitionBy("path").orderBy("r")
+    w = Window.partitionBy("path").orderBy("r")  # one row a range
     base = per.select("path", "r", (F.sum("n").over(w) - F.col("n")).alias("piece0"), (F.sum("chars").over(w) - F.col("chars")).alias("char0"))
     return (
         pieces.filter("text is not null")
