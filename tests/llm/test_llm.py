@@ -242,6 +242,36 @@ def test_repeats_equal_brute_force(spark):
     assert repeats.repeated_lines(C.limit(0), D).count() == 0
 
 
+def test_repeated_pieces_are_cut_across_line_breaks(spark):
+    rnd = random.Random(12)
+    notice = "Все права на материалы сохранены; перепечатка разрешена только с письменного согласия редакции и при указании источника публикации."
+    chunks, docs, own = [], [], {}
+    for k in range(12):
+        docs.append((f"d{k}", f"site{k % 2}/a/{k}"))
+        body = " ".join(rnd.choice(WORDS) for _ in range(60))
+        own[k] = body.split()
+        if k % 2 == 0:
+            w = notice.split()
+            at = rnd.randrange(1, len(w))
+            wrapped = " ".join(w[:at]) + "\n" + " ".join(w[at:]).upper()
+            body = f"{body}\n{wrapped}\n{' '.join(reversed(own[k]))}"
+        chunks.append((k, f"d{k}", body))
+    C = spark.createDataFrame([*chunks, (90, "d0", None), (91, "gone", notice), chunks[0]], "id long, doc_id string, text string")
+    D = spark.createDataFrame(docs, "doc_id string, path string")
+    got = {r.id: r for r in repeats.without_pieces(C, D).collect()}
+    assert len(got) == 14 and got[90].text is None and got[91].text == notice
+    for k in range(12):
+        assert own[k] == got[k].text.split()[: len(own[k])][: 60] or k % 2 == 0
+        if k % 2 == 0:
+            assert got[k].removed > len(notice) - 2 * 90 and got[k].removed <= len(notice) + 2 and " ".join(own[k][:50]) in got[k].text
+        else:
+            assert got[k].removed == 0
+    assert repeats.text_pieces("") == [] and repeats.text_pieces("12 \n") == [] and repeats.cut_pieces("Straße", set()) == ("Straße", 0)
+    text = "Straße İstanbul " + notice
+    spans = repeats.text_pieces(text)
+    assert spans[0][1] == 0 and spans[-1][2] == len(text) and all(a[2] <= b[1] for a, b in zip(spans, spans[1:]))
+
+
 # ---- 6 -------------------------------------------------------------------------------------------------------------------
 
 

@@ -90,6 +90,11 @@ def p5_chunks(spark: SparkSession, d: str) -> DataFrame:
     return repeats.without_repeats(read(spark, d, "rag_chunks"), read(spark, d, "rag_documents"))
 
 
+def p5_unwrapped(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks without the content-defined pieces that are repeated in their site, wherever lines break."""
+    return repeats.without_pieces(read(spark, d, "rag_chunks"), read(spark, d, "rag_documents"))
+
+
 def _p6_rows(spark: SparkSession, d: str, chunks: DataFrame) -> DataFrame:
     segments = read(spark, d, "segments").select(F.lit("segment").alias("tab"), F.col("seg_id").alias("row_id"), "text", F.lit(False).alias("line_breaks_end"))
     return segments.unionByName(chunks).filter(F.length("text") > 0)
@@ -158,7 +163,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p1_redacted, p2_found, p2_restored, p3_found, p3_normalised, p4_found, p4_pieces, p4_files, p5_found, p5_lines, p5_chunks]
+    own = [p1_found, p1_redacted, p2_found, p2_restored, p3_found, p3_normalised, p4_found, p4_pieces, p4_files, p5_found, p5_lines, p5_chunks, p5_unwrapped]
     own += [p6_found, p6_units, p7_found, p7_items, p7_cut, p8_mix, p8_order, p8_shares, p9_found, p9_scores, p9_rates]
     return {f.__name__: f for f in own}
 

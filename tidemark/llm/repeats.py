@@ -4,14 +4,17 @@ Method: content-defined chunking. A rolling hash over the folded text (no case,
 the line breaks; distinct documents are counted for each (site, piece) and pieces repeated excessively are found. A line
 is then a candidate if every piece that lies wholly inside it, with the window that set its borders, is repeated; such
 pieces depend on the line alone, so no repeated line is missed, and lines too short to hold one are candidates too. An
-exact count of documents for each candidate (site, line) decides, and repeated lines are cut.
+exact count of documents for each candidate (site, line) decides, and repeated lines are cut. without_pieces goes by pieces
+alone, across line breaks: pieces repeated excessively are counted and cut by offset, so that notices whose lines were
+wrapped anew go as well.
 
 Only keys are shuffled, never text: 64 bits for documents, sites and lines, 32 for pieces, where a collision can only add a
 candidate. Lines meet their site by document and salt; distinct (site, key, document) rows are made, then counted with a
 map-side combine, so that neither a huge document nor a notice in every document of a huge site meets in one task.
 
 Defined results: null text, and text without a repeated line, come back unchanged; lines of blanks are never cases; chunks
-of unknown documents belong to no site and are left alone; repeated rows count once.
+of unknown documents belong to no site and are left alone; repeated rows count once. What differs around a repeated passage
+shares its first and last piece, so that up to a piece (about 32 characters) at either end of a passage stays.
 """
 
 from __future__ import annotations
@@ -31,7 +34,9 @@ WINDOW, MASK = 6, 0x1F  # a border after every 32nd character, on average
 BROADCAST_ROWS = 1_000_000
 #: One document that holds a third of all chunks is spread over so many partitions.
 SALTS = 16
-_DROP = re.compile(r"[\d\s]+")
+_DROP, _KEPT = re.compile(r"[\d\s]+"), re.compile(r"[^\d\s]+")
+#: Pieces shorter than this say little; they are cut only between cut ones.
+LEAST_PIECE = 12
 _GEAR = np.random.default_rng(20240229).integers(1, 1 << 62, size=1 << 16, dtype=np.uint64)
 
 
@@ -47,6 +52,17 @@ def piece_key(piece: str) -> int:
     return xxhash.xxh32_intdigest(piece.encode("utf-8", "surrogatepass")) - (1 << 31)
 
 
+def _borders(codes: np.ndarray) -> np.ndarray:
+    """Where pieces end: behind each character at which the hash of the WINDOW characters up to it says so."""
+    if len(codes) < WINDOW:
+        return np.zeros(0, dtype=np.int64)
+    gear = _GEAR[codes & 0xFFFF]
+    h = np.zeros(len(codes) - WINDOW + 1, dtype=np.uint64)
+    for k in range(WINDOW):
+        h += gear[WINDOW - 1 - k : len(codes) - k] << np.uint64(k)
+    return np.flatnonzero((h >> np.uint64(40)) & np.uint64(MASK) == 0) + WINDOW
+
+
 def inner_pieces(lines: list[str]) -> list[list[int]]:
     """For each folded line the keys of its pieces: from one border of the rolling hash to the next, all within the line.
 
@@ -58,11 +74,7 @@ def inner_pieces(lines: list[str]) -> list[list[int]]:
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     if len(codes) < WINDOW:
         return out
-    gear = _GEAR[codes & 0xFFFF]
-    h = np.zeros(len(codes) - WINDOW + 1, dtype=np.uint64)
-    for k in range(WINDOW):
-        h += gear[WINDOW - 1 - k : len(codes) - k] << np.uint64(k)
-    ends = np.flatnonzero((h >> np.uint64(40)) & np.uint64(MASK) == 0) + WINDOW  # a border stands behind this character
+    ends = _borders(codes)
     starts = np.cumsum([0, *(len(x) + 1 for x in lines[:-1])]) if lines else []
     first = np.searchsorted(ends, np.asarray(starts) + WINDOW)
     last = np.searchsorted(ends, [s + len(x) for s, x in zip(starts, lines)], side="right")
@@ -71,6 +83,27 @@ def inner_pieces(lines: list[str]) -> list[list[int]]:
     return out
 
 
+def text_pieces(text: str) -> list[tuple[int, int, int]]:
+    """(key, start, end) of the pieces of a whole text, by offset. Folded characters keep the place of the one they come from."""
+    folded: list[str] = []
+    places: list[np.ndarray] = []
+    for m in _KEPT.finditer(text):
+        part = m.group().casefold()
+        if len(part) == m.end() - m.start():
+            folded.append(part)
+            places.append(np.arange(m.start(), m.end()))
+        else:
+            for i, c in enumerate(m.group(), m.start()):
+                folded.append(c.casefold())
+                places.append(np.full(len(folded[-1]), i))
+    if not folded:
+        return []
+    joined, at = "".join(folded), np.concatenate(places)
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    cuts = [0, *(c for c in _borders(codes).tolist() if c < len(codes)), len(codes)]
+    return [(xxhash.xxh3_64_intdigest(joined[a:b].encode("utf-8", "surrogatepass")) - (1 << 63), int(at[a]), int(at[b - 1]) + 1) for a, b in zip(cuts, cuts[1:])]
+
+
 def lines_of(chunks: DataFrame) -> DataFrame:
     """(id, doc_id, text) -> (id, doc, line_no, line, pieces); lines of blanks are left out."""
 
@@ -138,3 +171,55 @@ def without_repeats(chunks: DataFrame, documents: DataFrame) -> DataFrame:
         return each
 
     return map_rows(rows.select("id", "doc_id", "text", "cut"), make, "id long, doc_id string, text string, removed int")
+
+
+def repeated_pieces(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """(id, nos): for each chunk that holds some the numbers of its pieces that are repeated within their site."""
+    place = sites(documents)
+    totals = place.groupBy("site").agg(F.count("*").alias("total"))
+    salted = place.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+    def make():
+        def each(i, doc, text):
+            keys = [(no, k) for no, (k, s, e) in enumerate(text_pieces(text)) if e - s >= LEAST_PIECE]
+            if keys:
+                yield i, doc, keys
+
+        return each
+
+    rows = chunks.filter("text is not null").select("id", F.xxhash64("doc_id").alias("doc"), "text")
+    held = map_rows(rows, make, "id long, doc long, pieces array<struct<no:int,piece:long>>").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    held = held.join(salted, ["doc", "salt"]).select("id", "doc", "site", F.explode("pieces").alias("p")).select("id", "doc", "site", "p.no", "p.piece")
+    hot = written(_often(held, totals, "piece").select("site", "piece"), "pieces")
+    if hot.count() <= BROADCAST_ROWS:
+        hot = F.broadcast(hot)
+    return held.join(hot, ["site", "piece"]).groupBy("id").agg(F.collect_set("no").alias("nos"))
+
+
+def cut_pieces(text: str, nos: set[int]) -> tuple[str, int]:
+    """The text without the pieces of these numbers (and short ones between them), and the characters that went."""
+    pieces = text_pieces(text)
+    gone = [k in nos for k in range(len(pieces))]
+    for k in range(1, len(pieces) - 1):
+        gone[k] = gone[k] or gone[k - 1] and k + 1 in nos and pieces[k][2] - pieces[k][1] < LEAST_PIECE
+    kept, at = [], 0
+    for k, (_, start, end) in enumerate(pieces):
+        if gone[k]:
+            kept.append(text[at : start if not (k and gone[k - 1]) else at])
+            at = end
+    out = "".join(kept) + text[at:]
+    return out, len(text) - len(out)
+
+
+def without_pieces(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """(id, doc_id, text, removed): every distinct chunk without its repeated pieces, and how many characters were removed."""
+    rows = chunks.select("id", "doc_id", "text").dropDuplicates(["id"]).join(repeated_pieces(chunks, documents), "id", "left")
+
+    def make():
+        def each(i, doc, text, nos):
+            text, gone = cut_pieces(text, set(nos)) if nos else (text, 0)
+            yield i, doc, text, gone
+
+        return each
+
+    return map_rows(rows.select("id", "doc_id", "text", "nos"), make, "id long, doc_id string, text string, removed int")
