@@ -64,6 +64,14 @@ def test_pii_redaction(spark):
     assert pii.find(long)[0][2] == "email"
 
 
+def test_names_and_phones_beyond_the_lists():
+    show = lambda t: [t[a:b] for a, b, _ in pii.find(t)]
+    assert show("Выдано: Иванов Тимур Рустамович, кл. 5") == ["Иванов Тимур Рустамович"]
+    assert show("передал Тимуру Рустамовичу Иванову лично") == ["Тимуру Рустамовичу Иванову"]
+    assert show("Звонить Шалашеевичу с утра. Инженер Петрович ушёл.") == []
+    assert show("by Jennifer Smith, call 555-123-4567 today") == ["Jennifer Smith", "555-123-4567"]
+
+
 # ---- 2 -------------------------------------------------------------------------------------------------------------------
 
 CLEAN = [

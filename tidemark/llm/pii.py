@@ -34,7 +34,13 @@ GIVEN_RU = """Александр Алексей Анатолий Андрей А
 GIVEN_LATIN = """Adele Alice Anna Anton Arthur Bertha Carl Charles Clara Edwin Elise Emil Emma Ernst Felix Fritz Georg George
 Greta Hans Helen Henri Henry Hugo Ilse Jack James Jean John Jules Karl Klara Laura Louis Louise Lucie Marcel Margaret Maria
 Marie Martha Martin Mary Max Michel Nora Oskar Oscar Otto Paul Peter Pierre Robert Rosa Rudolf Sarah Sophie Thomas Tilda
-Vera Victor Walter William""".split()
+Vera Victor Walter William Adam Agnes Albert Alexander Alfred Amelia Amy Andrew Angela Anthony Antoine Barbara Benjamin
+Bernard Brian Camille Caroline Catherine Charlotte Christian Christine Christopher Claire Claude Daniel David Deborah Denis
+Dietrich Dominique Donald Dorothy Edward Eleanor Elizabeth Emily Eric Erika Eva Florence Frank Franz Frederick Gerhard Gilbert
+Grace Heinrich Hermann Ingrid Isabel Jacob Jacques Jane Jennifer Jessica Joan Johann Jonathan Joseph Josephine Julia Julie
+Jürgen Katharina Kenneth Klaus Laurent Linda Lisa Ludwig Madeleine Marc Marguerite Mark Matthew Matthias Michael Nancy Nathalie
+Nicole Olivier Pamela Patricia Patrick Pauline Philip Philippe Rachel Rebecca Renate Richard Ronald Ruth Samuel Sandra Sebastian
+Simon Stefan Stephen Steven Susan Susanne Sylvie Thérèse Timothy Ursula Valérie Wilhelm Wolfgang Yves""".split()
 
 
 def _forms(name: str) -> set[str]:
@@ -55,6 +61,11 @@ def _forms(name: str) -> set[str]:
     return {name} | {stem + e for e in ends if stem + e != "Петр"}
 
 
+@functools.cache
+def _given_forms() -> frozenset[str]:
+    return frozenset(f.lower() for name in GIVEN_RU for f in _forms(name))
+
+
 # ---- local parsers -----------------------------------------------------------------------------------------------
 _RU_UP, _LOC = "А-ЯЁ", r"[^\W_][\w.+\-]*"
 _DOMAIN = r"(?:[^\W_](?:[\w\-]*[^\W_])?\s?\.\s?)+[^\W\d_]{2,}"
@@ -67,7 +78,7 @@ _PHONE = re.compile(
     | \+\d{10,13}(?!\d)
     | 8[\s\-]?\(?\d{3}\)?[\s\-]?\d{3}[\s\-]?\d{2}[\s\-]?\d{2}(?![\d\-])
     | \(\d{3,5}\)\s?\d{2,3}[\s\-]\d{2}[\s\-]\d{2}(?![\d\-]) | \(\d{3,5}\)\s?\d{5,7}(?!\d)
-    | \d{3}-\d{2}-\d{2}(?![\d\-]) | 0\d{2,4}/\d{4,7}(?!\d)""",
+    | \(?\d{3}\)?[\s.\-]\d{3}[\-.]\d{4}(?![\d\-]) | \d{3}-\d{2}-\d{2}(?![\d\-]) | 0\d{2,4}/\d{4,7}(?!\d)""",
     re.X,
 )
 _PHONE_SHORT = re.compile(r"\d{2}-\d{2}-\d{2}(?![\d\-])")
@@ -112,6 +123,13 @@ _PATR_LEFT = re.compile(rf"(?<!\w)([{_RU_UP}][\w\-]+)\s$")
 _INITIALS = re.compile(r"\p{Lu}\.(?:\s?\p{Lu}\.)?(?![\w])?")
 _LATIN_SUR = re.compile(r"\s(\p{Lu}[\p{L}'’\-]{2,})(?!\w)")
 _LATIN_FIRM = re.compile(r"\s(?:&|and Co|et Cie|u\. Co|GmbH|Ltd)")
+_FEMALE = re.compile(r"(?i)(?:овн|евн|ичн)\w{1,2}$")
+_MALE_GIVEN = re.compile(r"(?:[бвгджзклмнпрстфхцчшщйь]|[аяуюе]|ем|ом|ым)$")
+# Offices and forms of address that stand before a surname.
+_OFFICES = frozenset(f"{w}{e}" for w in """агроном адвокат академик архивариус бригадир бухгалтер водитель врач генерал господин граждан гражданин губернатор дежурный
+директор доктор завхоз заведующий инженер инспектор кандидат канцлер капитан князь кассир комендант контролёр куратор лейтенант майор мастер министр
+начальник нотариус оператор отец пан печник писатель плательщик полковник помощник поэт председатель президент продавец профессор редактор ревизор секретарь слесарь
+смотритель староста сержант сторож судья техник товарищ учитель фельдшер хранитель художник экспедитор""".split() for e in ("", "а", "у", "ом", "ем", "е", "я", "ю"))
 _TITLES = frozenset("Mr Mrs Ms Herr Frau Mme Mlle M Monsieur Madame Fig Sec No St Nr Tab Abb".split())
 
 
@@ -146,10 +164,11 @@ def _automaton() -> ahocorasick.Automaton:
     for base in GIVEN_LATIN:
         for w in (base, base.upper()):
             a.add_word(w, ("given_latin", len(w)))
-    for w in ("овн", "евн", "ичн"):
-        for e in ("а", "ы", "у", "е", "ой"):
-            for x in (w + e, (w + e).upper()):
-                a.add_word(x, ("patronymic", len(x)))
+    female, male = (("овн", "евн", "ичн"), ("а", "ы", "у", "е", "ой")), (("ович", "евич", "ьич"), ("", "а", "у", "ем", "ом", "е"))
+    for stems, ends in (female, male):
+        for x in (w + e for w in stems for e in ends):
+            for y in (x, x.upper()):
+                a.add_word(y, ("patronymic", len(y)))
     for c in "АБВГДЕЁЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯABCDEFGHIJKLMNOPQRSTUVWXYZ":
         a.add_word(c + ".", ("initial", 2))
     a.make_automaton()
@@ -286,7 +305,8 @@ def _given_ru(text: str, s: int, e: int) -> tuple[int, int] | None:
 
 
 def _patronymic(text: str, s: int, e: int) -> tuple[int, int] | None:
-    """A female patronymic after an unlisted given name."""
+    """A patronymic after an unlisted given name. Words in -ович are surnames too, so a male one needs a surname on
+    either side, and before it a word that names no office and ends as given names do."""
     while s and text[s - 1].isalpha():
         s -= 1
     if not text[s].isupper() or not re.fullmatch(_PATRONYMIC, text[s:e]):
@@ -294,6 +314,14 @@ def _patronymic(text: str, s: int, e: int) -> tuple[int, int] | None:
     given = _PATR_LEFT.search(_window(text, s, 30))
     if not given:
         return None
+    if not _FEMALE.search(text[s:e]):
+        word, start = given.group(1).lower(), s - len(given.group())
+        if word in _OFFICES or not _MALE_GIVEN.search(word) or _surname(word):
+            return None
+        left, right = _WORD_LEFT.search(_window(text, start, 40)), _WORD_RIGHT.match(text, e)
+        if left and "," not in left.group(2) and _surname(left.group(1)) and left.group(1).lower() not in _OFFICES:
+            return start - len(left.group()), e
+        return (start, right.end(1)) if right and text[e].isspace() and _surname(right.group(1)) and right.group(1).lower() not in _given_forms() and not text.startswith(".", right.end(1)) else None
     right = re.match(rf"\s([{_RU_UP}][\w\-]+)", text[e : e + 40])
     return s - len(given.group()), e + right.end(1) if right and _surname(right.group(1)) else e
 
