@@ -21,6 +21,7 @@ import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import lookalike
 from tidemark.llm.arrow import map_rows
 from tidemark.llm.layout import reading_text
 
@@ -36,7 +37,7 @@ abuse .8 shut your|shut up you|go to hell|you stupid|you filthy|you lying|you st
 abuse .6 could write such|choke on his own|choke on her own|choke on their own|choke on your|bunch of idiots|bunch of morons|such rubbish|his own lies|her own lies
 abuse .4 you are a|you are an|like you|knows it|sits in that office|write such rubbish
 abuse .7 ублюд+ мразь|мразью|мрази|подон+ мерзав+ кретин+ дебил+ сволоч+ гнида|гниды|скотина|засран+ придур+ выродок|выродк+ тварь|сучк+ сукин+ недоум+ паскуд+
-abuse .6 идиот+ болван+ урод|урода|уроду|уродом|урode|дурак+ дурень|тупиц+ негодяй+ подлец+ отребье|шваль|свинья
+abuse .6 идиот+ болван+ урод|урода|уроду|уродом|дурак+ дурень|тупиц+ негодяй+ подлец+ отребье|шваль|свинья
 abuse .4 грязн+ вонюч+ лживый|лживая|лживую|ничтожн+ проклят+ поган+ жалкий|тупой|тупая|чёртов+ мерзк+
 abuse .8 заткнись|заткните|пошёл вон|пошел вон|иди к чёрту
 abuse .6 подавится своей|подавится|своей ложью|написать такую дрянь|такую дрянь|пусть этот
@@ -54,6 +55,14 @@ abuse .8 ferme ta gueule|ta gueule|ferme-la|espèce de
 abuse .6 étouffe avec|ses mensonges|telles ordures|écrire de telles|seul un
 abuse .4 vous êtes un|tu es un|le sait|peut écrire
 abuse -1.2 called the plan|a stupid waste|waste of lime|дурацкая трата|глупая трата|deplored the insults|condemned the insult|regretted the insult|осудила выкрики|осудил выкрики|осудила оскорб|bedauerte die rufe|bedauerte die beleidig|a regretté les cris|a regretté les insultes|insults shouted|pesait|livres|wog|пудов|weighed|pounds|of the fable|dans la fable|der fabel|басни|в басне
+abuse .7 jackass+ you bitch|stupid bitch|whore+ slut+ fucking|fucker+ cunt+ twat+ degenerate|depp+ versager+ wichser+ hurensohn+ schlampe+ raclure+ pourriture+ salope+ putain de|мудак+ козёл|козел|козлы|гады|говню+ шлюх+ сучар+
+abuse .5 loser+ jerk|jerks|coward+ clown|trash|disgrace|good for nothing|feigling+ nichtsnutz+ taugenichts|pauvre type|bon à rien|lâche|гад|хам|хамы|трус|трусы|ничтожество|бездарь
+abuse .4 shame on you|you people|you should be ashamed|schämt euch|schämen sie sich|honte à vous|стыд вам|как тебе не стыдно|ты просто|вы просто
+hate .7 exterminat+ wipe them out|should be shot|get rid of them all|ausrotten|ausgerottet|ausmerzen|exterminer|истребить|истребля+ уничтожить их|уничтожить всех|вырезать их
+hate .6 subhumans|savages|inferior race|lower race|minderwertige rasse|race inférieure|низшая раса|низшей расы|дикари
+hate .4 all of them|die ganze brut|alle diese|tous ces|all these|all those|этих всех
+sexual .6 had sex|sexual act|porn+ erotic+ intercourse|masturbat+ geschlechtsverkehr|pornogra+ érotique+ porno+ порно+ эротич+ совокуплен+
+sexual .4 kissed her neck|her naked|his naked|panties|garter+ corset off|undressing|zog sie aus|küsste ihren|sa chair|le lit défait|раздевал+ целовал её|целовал ее
 hate .6 vermin lice|scum subhuman+ cockroach+ parasit+ maggots|mongrels|like dogs|are dogs|they are dogs|filth like|rats like|are rats|plague on
 hate .7 driven out of|should be driven out|be driven out|out of our town|burn the shops|burn their|deserves the whip|deserve the whip|the whip|no decent street|decent street|hang them|gas them|beat them out
 hate .4 every one of the|has room for|they are|like the|shops of the|should be driven|driven out|deserves|deserve
@@ -91,10 +100,11 @@ _ACCENTS = str.maketrans("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ
 _MAYBE_SPELLED = re.compile(r"(?<=[ .\-_·])\w[ .\-_·]\w[ .\-_·]\w(?!\w)")
 _SPELLED = re.compile(r"(?<!\w)[^\W_]([ .\-_·])[^\W_](?:\1[^\W_]){2,}(?!\w)")
 _LONG = re.compile(r"(\w)\1{2,}")
-_DISGUISE = re.compile(r"[0-9@$|*€](?:(?<=[^\W\d_].)|(?=[^\W\d_]))")
+#: Signs that may stand for a letter beside letters; an exclamation mark does so only between two.
+_DISGUISE = re.compile(r"[0-9@$|*€](?:(?<=[^\W\d_].)|(?=[^\W\d_]))|(?<=[^\W\d_])!(?=[^\W\d_])")
 _MIXED = re.compile(r"[a-z][а-яё]|[а-яё][a-z]")
 _TOKEN = re.compile(r"[\w@$!|*€]+")
-_CYR = re.compile(r"[а-яё]")
+_CYR, _GREEK = re.compile(r"[а-яё]"), re.compile(r"[Α-ώ]")
 
 
 def fold(word: str) -> str:
@@ -169,6 +179,10 @@ def _joined(m: re.Match) -> str:
 
 def cues(text: str) -> list[tuple[int, str, float]]:
     """(position, topic, weight) of all cues of a page in reading order."""
+    text, mixed, _ = lookalike.repair(text)
+    for at, token, repairs in reversed(mixed):
+        if repairs and _GREEK.search(token):
+            text = text[:at] + repairs[0] + text[at + len(token) :]
     plain = text.lower().replace("\n", " ").replace("’", "'")
     if _MAYBE_SPELLED.search(plain):
         plain = _SPELLED.sub(_joined, plain)

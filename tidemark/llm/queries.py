@@ -158,13 +158,28 @@ def p9_scores(spark: SparkSession, d: str) -> DataFrame:
     return abuse.scores(read(spark, d, "documents"))
 
 
+def p9_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """How reviews agree with what is found: (topic, part, pages, labelled, flagged, both) over the pages that were reviewed.
+
+    A page is labelled with a topic if at least half of its reviews say so. part: doc_id modulo 2, so that whoever changes the
+    lexicon with one half in view can measure on the other.
+    """
+    reviews = read(spark, d, "review_labels").filter("label is not null").dropDuplicates()
+    votes = reviews.groupBy("doc_id").agg(F.count("*").alias("n"), *(F.sum((F.col("label") == t).cast("int")).alias(t) for t in abuse.TOPICS))
+    asked = votes.select("doc_id", F.explode(F.array(*(F.struct(F.lit(t).alias("topic"), (2 * F.col(t) >= F.col("n")).cast("int").alias("labelled")) for t in abuse.TOPICS))).alias("x")).select("doc_id", "x.*")
+    pages = read(spark, d, "documents").join(votes.select("doc_id"), "doc_id", "left_semi")
+    got = abuse.found(pages).withColumn("flagged", F.lit(1))
+    j = asked.join(got, ["doc_id", "topic"], "left").withColumn("flagged", F.coalesce("flagged", F.lit(0)))
+    return j.groupBy("topic", (F.col("doc_id") % 2).cast("int").alias("part")).agg(F.count("*").alias("pages"), F.sum("labelled").alias("labelled"), F.sum("flagged").alias("flagged"), F.sum(F.col("labelled") * F.col("flagged")).alias("both"))
+
+
 def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(read(spark, d, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [p1_found, p1_redacted, p2_found, p2_restored, p3_found, p3_normalised, p4_found, p4_pieces, p4_files, p5_found, p5_lines, p5_chunks, p5_unwrapped]
-    own += [p6_found, p6_units, p7_found, p7_items, p7_cut, p8_mix, p8_order, p8_shares, p9_found, p9_scores, p9_rates]
+    own += [p6_found, p6_units, p7_found, p7_items, p7_cut, p8_mix, p8_order, p8_shares, p9_found, p9_scores, p9_rates, p9_agreement]
     return {f.__name__: f for f in own}
 
 
