@@ -37,5 +37,6 @@ def line_order(text: str, left: list[int] | None, right: list[int] | None, colum
 def reading_text(text: str, left: list[int] | None, right: list[int] | None, columns: int | None) -> str:
     """The page in reading order, with words that were broken at line ends joined."""
     if columns and columns > 1:
-        text = "\n".join(text[a:b] for a, b in line_order(text, left, right, columns))
+        lines = text.split("\n")
+        text = "\n".join(lines[k] for column in _columns(len(lines), left, right, columns) for k in column)
     return _BREAK.sub("", text)

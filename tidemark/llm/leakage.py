@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrow import map_rows
-from tidemark.llm.layout import BREAKS, line_order
+from tidemark.llm.layout import BREAKS, line_order, reading_text
 
 BLOCK_ITEMS, MOST_ITEMS = 4096, 1_000_000
 #: Bits of a common run, under the word pairs of the items, from which chance no longer explains it (one run in about a thousand pages).
@@ -440,6 +440,9 @@ def contaminated(pages: DataFrame, items: DataFrame) -> DataFrame:
             a = _cached(key, sent)
 
             def each(doc, text, x0, x1, n):
+                # Places are looked up only where something is found.
+                if not leaked(a, words(reading_text(text, x0, x1, n))):
+                    return
                 for k, share, lo, hi in leaked(a, page_words(text, x0, x1, n)[0]):
                     for item in a.items[k][0]:
                         yield item, doc, round(share, 4), lo, hi

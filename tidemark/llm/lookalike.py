@@ -56,10 +56,16 @@ def _composable() -> str:
 _LATIN_RANGE, _CYRILLIC_RANGE, _GREEK_RANGE = "A-Za-zªºÀ-ÖØ-öø-ɏḀ-ỿ", "Ѐ-ҁҊ-ԯ", "Ͱ-ͳͶͷͻ-ͽΆΈ-Ͽἀ-ῼ"
 _MARKS = "\u0300-\u036f\u0483-\u0487"
 
-#: What may make a text a case: a character of the fixed rules, an accent, a Greek letter, or a Latin one beside a Cyrillic one.
-_GATE = stdlib_re.compile(
-    f"[{ZERO_WIDTH}{BLANKS}{FULL_WIDTH}{_MARKS}{_GREEK_RANGE}{_LATIN_RANGE}](?:(?<=[{ZERO_WIDTH}{BLANKS}{FULL_WIDTH}{_MARKS}{_GREEK_RANGE}])|(?=[{_CYRILLIC_RANGE}])|(?<=[{_CYRILLIC_RANGE}].))"
-)
+_ODD = stdlib_re.compile(f"[{ZERO_WIDTH}{BLANKS}{FULL_WIDTH}{_MARKS}{_GREEK_RANGE}]")
+_CYRILLIC_LETTER = stdlib_re.compile(f"[{_CYRILLIC_RANGE}]")
+_BESIDE = stdlib_re.compile(f"[{_LATIN_RANGE}](?:(?=[{_CYRILLIC_RANGE}])|(?<=[{_CYRILLIC_RANGE}].))")
+
+
+def may_be_case(text: str) -> bool:
+    """Whether a text holds a character of the fixed rules, an accent, a Greek letter, or a Latin one beside a Cyrillic one."""
+    return bool(_ODD.search(text) or _CYRILLIC_LETTER.search(text) and _BESIDE.search(text))
+
+
 _WORD = re.compile(r"[\p{L}\p{M}]+")
 _ZW, _BL, _FW = (stdlib_re.compile(f"[{x}]") for x in (ZERO_WIDTH, BLANKS, FULL_WIDTH))
 _MARK = re.compile(r"\p{L}\p{Mn}+")
@@ -113,7 +119,7 @@ def mixed_tokens(text: str) -> list[tuple[int, str, list[str]]]:
 
 def repair(text: str | None) -> tuple[str | None, list[tuple[int, str, list[str]]], bool]:
     """(text in plain form, its mixed tokens, whether the text is a case)."""
-    if not text or not _GATE.search(text):
+    if not text or not may_be_case(text):
         return text, [], False
     plain = plain_form(text)
     mixed = mixed_tokens(plain)
@@ -147,7 +153,7 @@ def vocabulary(texts: DataFrame, text: str = "text") -> DataFrame:
             new: set[str] = set()
             for t in column:
                 if t:
-                    new.update(_WORDS.findall((plain_form(t) if _GATE.search(t) else t).lower()))
+                    new.update(_WORDS.findall((plain_form(t) if _ODD.search(t) else t).lower()))
             new -= given
             if len(given) > KNOWN_WORDS:
                 given.clear()
