@@ -19,6 +19,7 @@ shares its first and last piece, so that up to a piece (about 32 characters) at
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -34,7 +35,7 @@ WINDOW, MASK = 6, 0x1F  # a border after every 32nd character, on average
 BROADCAST_ROWS = 1_000_000
 #: One document that holds a third of all chunks is spread over so many partitions.
 SALTS = 16
-_DROP, _KEPT = re.compile(r"[\d\s]+"), re.compile(r"[^\d\s]+")
+_DROP = re.compile(r"[\d\s]+")
 #: Pieces shorter than this say little; they are cut only between cut ones.
 LEAST_PIECE = 12
 _GEAR = np.random.default_rng(20240229).integers(1, 1 << 62, size=1 << 16, dtype=np.uint64)
@@ -85,23 +86,28 @@ def inner_pieces(lines: list[str]) -> list[list[int]]:
 
 def text_pieces(text: str) -> list[tuple[int, int, int]]:
     """(key, start, end) of the pieces of a whole text, by offset. Folded characters keep the place of the one they come from."""
-    folded: list[str] = []
-    places: list[np.ndarray] = []
-    for m in _KEPT.finditer(text):
-        part = m.group().casefold()
-        if len(part) == m.end() - m.start():
-            folded.append(part)
-            places.append(np.arange(m.start(), m.end()))
-        else:
-            for i, c in enumerate(m.group(), m.start()):
-                folded.append(c.casefold())
-                places.append(np.full(len(folded[-1]), i))
-    if not folded:
+    low = text.casefold()
+    if len(low) == len(text):
+        at = None
+    else:
+        parts = [c.casefold() for c in text]
+        low = "".join(parts)
+        at = np.repeat(np.arange(len(text)), [len(x) for x in parts])
+    codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    kept = np.flatnonzero(_kept()[np.minimum(codes, 0xFFFF)])
+    if not len(kept):
         return []
-    joined, at = "".join(folded), np.concatenate(places)
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    codes, at = codes[kept], (kept if at is None else at[kept])
+    data = codes.tobytes()
     cuts = [0, *(c for c in _borders(codes).tolist() if c < len(codes)), len(codes)]
-    return [(xxhash.xxh3_64_intdigest(joined[a:b].encode("utf-8", "surrogatepass")) - (1 << 63), int(at[a]), int(at[b - 1]) + 1) for a, b in zip(cuts, cuts[1:])]
+    first, last = at[cuts[:-1]].tolist(), at[[c - 1 for c in cuts[1:]]].tolist()
+    return [(xxhash.xxh3_64_intdigest(data[4 * a : 4 * b]) - (1 << 63), s, e + 1) for a, b, s, e in zip(cuts, cuts[1:], first, last)]
+
+
+@functools.cache
+def _kept() -> np.ndarray:
+    """Which characters are neither digits nor blanks."""
+    return np.array([not _DROP.match(chr(c)) for c in range(1 << 16)])
 
 
 def lines_of(chunks: DataFrame) -> DataFrame:
@@ -190,6 +196,7 @@ def repeated_pieces(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     rows = chunks.filter("text is not null").select("id", F.xxhash64("doc_id").alias("doc"), "text")
     held = map_rows(rows, make, "id long, doc long, pieces array<struct<no:int,piece:long>>").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     held = held.join(salted, ["doc", "salt"]).select("id", "doc", "site", F.explode("pieces").alias("p")).select("id", "doc", "site", "p.no", "p.piece")
+    held = written(held, "held")
     hot = written(_often(held, totals, "piece").select("site", "piece"), "pieces")
     if hot.count() <= BROADCAST_ROWS:
         hot = F.broadcast(hot)
