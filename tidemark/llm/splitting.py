@@ -25,12 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.arrow import map_rows
+from tidemark.llm.arrow import map_rows, written
 
 LIMIT, OVERLAP = 1200, 150
 #: Characters of a range of a text that is a row, and of its halo.
 RANGE, HALO = 1 << 11, 256
 ID_BLOCK = 256
+MOST_TASKS = 50_000
 
 _BOUNDARY = re.compile(
     r"(?P<line>\n+)|(?P<sentence>[.!?…]+[»”\"')\]]*\s+(?=[^\s\p{Ll}\d])|[。！？]+[」』”’）]*|[।؟]\s*)|(?P<clause>[;:,،؛]\s+|\s[—–-]\s|[，；：、])|(?P<blank>\s+)"
@@ -211,13 +212,16 @@ def _border(data: bytes, at: int, reach: int) -> int:
 def split_files(spark: SparkSession, folder: str, limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = 8 << 20) -> DataFrame:
     """UTF-8 files in a folder that all workers see (and its subfolders) -> (path, piece, byte_start, char_start, text).
 
-    One task holds one range and its halos. A range summary (its pieces and characters) is all that is shuffled.
+    One task holds one range and its halos. A range summary (its pieces and characters) is all that is shuffled; the pieces are
+    written once, so that ranges are not cut again for their summaries.
     """
     limit, overlap = settings(limit, overlap)
     reach, back = 4 * limit + HALO, 4 * overlap + HALO
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("size")).filter("size > 0")
     ranges = files.select("path", "size", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / range_bytes))).alias("r"))
-    ranges = ranges.repartition("path", "r")
+    # The number is given, or the few bytes of these rows would be put into one task.
+    n = files.agg(F.sum(F.floor((F.col("size") - 1) / range_bytes) + 1).cast("int")).first()[0] or 1
+    ranges = ranges.repartition(min(n, MOST_TASKS), "path", "r")
 
     def make():
         def each(path, size, r):
@@ -242,7 +246,7 @@ def split_files(spark: SparkSession, folder: str, limit: int = LIMIT, overlap: i
 
         return each
 
-    pieces = map_rows(ranges, make, "path string, r long, k int, byte_start long, char_in_range long, chars long, text string")
+    pieces = written(map_rows(ranges, make, "path string, r long, k int, byte_start long, char_in_range long, chars long, text string"), "pieces")
     per = pieces.groupBy("path", "r").agg(F.max("chars").alias("chars"), F.count("text").alias("n"))
     w = Window.partitionBy("path").orderBy("r")  # one row a range
     base = per.select("path", "r", (F.sum("n").over(w) - F.col("n")).alias("piece0"), (F.sum("chars").over(w) - F.col("chars")).alias("char0"))
