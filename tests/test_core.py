@@ -27,14 +27,14 @@ def one(spark, f, *values):
 
 def test_merge_votes_weights_and_penalty(spark):
     c = spark.createDataFrame(
-        [(1, 1, 1, 0, "а", "б", 0.9, "gec-x"), (1, 2, 1, 0, "а", "б", 0.5, "draft"), (1, 3, 1, 5, "в", "г", 0.9, "draft"), (1, 4, 1, None, "в", "г", 0.9, "rule-x"), (2, 1, 1, 0, "x", "y", 0.1, "other")],
+        [(1, 1, 1, 0, "а", "б", 0.9, "russian-gec-x"), (1, 2, 1, 0, "а", "б", 0.5, "draft"), (1, 3, 1, 5, "в", "г", 0.9, "draft"), (1, 4, 1, None, "в", "г", 0.9, "rule-x"), (2, 1, 1, 0, "x", "y", 0.1, "other")],
         CAND,
     )
     got = {(r.doc_id, r.start, r.before): (r.confidence, r.category, list(r.sources)) for r in candidates.merge(c).collect()}
-    assert got[1, 0, "а"] == (0.96, "gec-x", ["draft", "gec-x"])
-    assert got[1, 5, "в"] == (0.41, "draft", ["draft"])
+    assert got[1, 0, "а"] == (0.96, "russian-gec-x", ["draft", "russian-gec-x"])
+    assert got[1, 5, "в"] == (0.66, "draft", ["draft"])
     assert got[1, None, "в"] == (1.0, "rule-x", ["rule-x"])
-    assert got[2, 0, "x"] == (0.25, "other", ["other"])
+    assert got[2, 0, "x"] == (0.5, "other", ["other"])
 
 
 def test_decide_order_overlap_cap_and_spans(spark):
@@ -55,7 +55,8 @@ def test_decide_order_overlap_cap_and_spans(spark):
     assert all(not got[k].edits for k in (2, 3, 4))
     out = candidates.decide(m, texts).select("doc_id", candidates.apply_edits(F.col("text"), F.col("edits")).alias("t"))
     assert {r.doc_id: r.t for r in out.collect()} == {1: "1 2 3 два", 2: None, 3: "", 4: "нет правок"}
-    assert len(candidates.decide(m, texts, cap=1).filter("doc_id = 1").first().edits) == 1
+    capped = candidates.decide(m, texts, cap=1).filter("doc_id = 1").first()
+    assert len(capped.edits) == 1 and capped.dropped == 1 and not any(r.dropped for r in candidates.decide(m, texts).collect())
     guard = spark.createDataFrame([("Три",)], "word string")
     assert [e.after for e in candidates.decide(m, texts, protected=guard).filter("doc_id = 1").first().edits] == ["1 2"]
 
@@ -67,7 +68,7 @@ def test_greedy_equals_brute_force(spark):
     items = [(g, rnd.randrange(40), rnd.randrange(1, 9), i) for g in range(20) for i in range(25)]
     df = spark.createDataFrame([(g, s, s + n, i) for g, s, n, i in items], "g int, s int, e int, id int")
     key = F.struct((F.col("s") - F.col("e")).alias("o"), "id", "s", "e")
-    got = {r.g: [x.id for x in r.c] for r in df.groupBy("g").agg(F.array_sort(F.collect_list(key)).alias("x")).select("g", candidates.choose(F.col("x"), 6).alias("c")).collect()}
+    got = {r.g: [x.id for x in r.c] for r in df.groupBy("g").agg(F.array_sort(F.collect_list(key)).alias("x")).select("g", F.slice(candidates.choose(F.col("x")), 1, 6).alias("c")).collect()}
     for g in range(20):
         acc = []
         for s, e, i in sorted(((s, s + n, i) for gg, s, n, i in items if gg == g), key=lambda t: (t[0] - t[1], t[2])):
@@ -227,16 +228,57 @@ def test_segments_and_chunks(spark):
     assert segments.paragraph_chunks(para, 120, 10).count() > 3
 
 
-def test_diff():
-    assert diff.edits("Он пошол домой.", "Он пошёл домой.") == [(3, "пошол", "пошёл")]
-    assert diff.edits("а б", "а\nб") == []
-    assert diff.is_rewrite("раз два три", "совсем другой длинный текст")[0]
-    src, dst = "Мы видели что он ушёл", "Мы видели, что он ушёл"
-    out = src
-    for s, b, a in reversed(diff.edits(src, dst)):
-        assert out[s : s + len(b)] == b
-        out = out[:s] + a + out[s + len(b) :]
-    assert out == dst
+def test_diff(spark):
+    cases = {
+        "yo": ("Он пошол домой.", "Он пошёл домой."),
+        "break": ("а б", "а\nб"),
+        "rewrite": ("раз два три", "совсем другой длинный текст"),
+        "comma": ("Мы видели что он ушёл", "Мы видели, что он ушёл"),
+        "same": ("а", "а"),
+        "empty": ("", ""),
+        "null": (None, "а"),
+    }
+    P = spark.createDataFrame([(k, *v) for k, v in cases.items()], "case_id string, source string, target string")
+    got = {}
+    for r in diff.token_edits(P).orderBy("case_id", F.desc("start")).collect():
+        got.setdefault(r.case_id, []).append((r.start, r.before, r.after))
+    assert got["yo"] == [(3, "пошол", "пошёл")] and set(got) == {"yo", "comma"}
+    src, dst = cases["comma"]
+    for s, b, a in got["comma"]:
+        assert src[s : s + len(b)] == b
+        src = src[:s] + a + src[s + len(b) :]
+    assert src == dst
+    guard = {r.case_id: r for r in diff.rewrite_guard(P).collect()}
+    assert guard["rewrite"].rewrite and not guard["comma"].rewrite and guard["yo"].changed == 1 and "null" not in guard
+    # Length is measured against the shorter text: a text a quarter longer is a rewrite though four fifths of it stay.
+    D = spark.createDataFrame([("a", "1" * 80, "1" * 97), ("b", "1" * 97, "1" * 80)], "case_id string, source string, target string")
+    assert all(r.rewrite for r in diff.rewrite_guard(D).collect())
+
+
+def test_exact_duplicates_of_huge_classes(spark):
+    df = spark.createDataFrame([(i, "" if i % 3 else None) for i in range(30)] + [(100, "а"), (101, "а"), (102, "б")], "id int, text string")
+    want = rows(corpus.exact_duplicates(df, "id", "text"))
+    assert rows(corpus.exact_duplicates(df, "id", "text", hot=2)) == want and (100, 100, 2) in want and want[0] == (0, 0, 30)
+
+
+def test_solo_penalty_is_for_inflections_only(spark):
+    lx = lexicon.fixture(spark)
+    c = spark.createDataFrame(
+        [(1, 1, 1, 0, "службы", "службе", 0.9, "russian-gec"), (1, 1, 2, 9, "служба", "группа", 0.9, "russian-gec"), (2, 1, 1, 0, "службы", "службе", 0.9, "draft"), (2, 2, 1, 0, "службы", "службе", 0.9, "sage"), (3, 1, 1, 0, "службы", "службе", 0.9, "rule-x")],
+        CAND,
+    )
+    got = {(r.doc_id, r.after): r.confidence for r in candidates.merge(c, lx).collect()}
+    assert got == {(1, "службе"): 0.61, (1, "группа"): 0.86, (2, "службе"): 0.9, (3, "службе"): 1.0}
+    assert {r.confidence for r in candidates.merge(c).filter("doc_id = 1").collect()} == {0.86}
+    m = candidates.merge(spark.createDataFrame([(1, 1, 1, 0, "службы", "службе", 0.9, "model-x"), (1, 1, 2, 7, "ревизор", "реви зор", 0.9, "model-x"), (1, 1, 3, 7, "ревизор", "реви зор", 0.9, "rule-rag-terminology")], CAND))
+    text = spark.createDataFrame([(1, "службы ревизор")], "doc_id long, text string")
+    assert [e.after for e in candidates.decide(m.withColumn("confidence", F.lit(0.9)), text, lexicon=lx).first().edits] == ["реви зор"]
+    assert [e.after for e in candidates.decide(m.withColumn("confidence", F.lit(0.9)), text).first().edits] == ["службе", "реви зор"]
+
+
+def test_undo_yo(spark):
+    P = spark.createDataFrame([(1, "Все ели елку", "Всё ели, ёлку"), (2, "Ёж", "Ёж"), (3, None, "ё"), (4, "е", None), (5, "еще ЕЖ", "ещё ЁЖ")], "case_id int, source string, target string")
+    assert {r.case_id: r.text for r in diff.undo_yo(P).collect()} == {1: "Все ели, елку", 2: "Ёж", 3: "ё", 4: None, 5: "еще ЕЖ"}
 
 
 def test_lexicon(spark):

@@ -12,9 +12,14 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 
 # Weight of a category by its first matching prefix, in order.
-WEIGHTS = (("rule-", 1.0), ("dict-spell", 0.94), ("languagetool-", 0.90), ("gec", 0.86), ("sage", 0.80), ("draft", 0.66))
+WEIGHTS = (("rule-", 1.0), ("dict-spell", 0.94), ("languagetool-", 0.90), ("russian-gec", 0.86), ("sage", 0.80), ("draft", 0.66))
 OTHER_WEIGHT, EXTRA_SOURCE, SOLO_PENALTY, MIN_VOTES = 0.5, 0.10, 0.25, 2
-MIN_CONFIDENCE, MAX_BEFORE, MAX_CHANGES = 0.55, 120, 12
+MIN_CONFIDENCE, MAX_BEFORE = 0.55, 120
+# Categories of texts made by models; of those, the ones that may not split, merge or inflect words on their own word;
+# and the rules that may touch protected words.
+GENERATIVE = ("sage", "russian-gec", "draft", "model", "surface", "unknown", "diff")
+UNPROVEN = ("model", "unknown", "languagetool", "surface")
+MAY_TOUCH = ("rule-rag-terminology", "rule-legal-repetition")
 
 
 def weight(category: Column) -> Column:
@@ -28,11 +33,36 @@ def deterministic(category: Column) -> Column:
     return category.rlike("^(rule-|dict-spell|languagetool-)")
 
 
-def merge(candidates: DataFrame) -> DataFrame:
+def starts_with(category: Column, prefixes: tuple[str, ...]) -> Column:
+    return category.rlike("^(" + "|".join(prefixes) + ")")
+
+
+def _pairs(before: Column, after: Column) -> Column:
+    """array<struct<a, b>> of the words that differ, position by position; null if the numbers of words differ."""
+    w = lambda c: F.regexp_extract_all(F.lower(c), F.lit(f"[{T.LETTER}]+"), F.lit(0))
+    both = F.filter(F.zip_with(w(before), w(after), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: x["a"] != x["b"])
+    return F.when(F.size(w(before)) == F.size(w(after)), both)
+
+
+def inflections(edits: DataFrame, lexicon: DataFrame, same_pos: bool = False) -> DataFrame:
+    """Distinct (before, after) of edits in which some word is exchanged for another form of its lemma.
+
+    Words meet the lexicon by two equi-joins on forms; only distinct pairs of words take part.
+    """
+    e = edits.select("before", "after").distinct().select("before", "after", F.explode(_pairs(F.col("before"), F.col("after"))).alias("p")).select("before", "after", "p.a", "p.b")
+    keys = ["lemma", "pos"] if same_pos else ["lemma"]
+    forms = lexicon.select(F.lower("form").alias("form"), *keys).distinct()
+    words = e.select("a", "b").distinct()
+    hit = words.join(forms.withColumnRenamed("form", "a"), "a").join(forms.withColumnRenamed("form", "b"), ["b", *keys]).select("a", "b").distinct()
+    return e.join(hit, ["a", "b"], "left_semi").select("before", "after").distinct()
+
+
+def merge(candidates: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
     """Votes: candidates of one (doc, start, before, after) become one row.
 
-    sources: sorted distinct categories; confidence: the best weight plus a bonus for each further source, less a penalty
-    where a lone source is no deterministic one. One pass over all stages, hence associative.
+    sources: sorted distinct categories; confidence: the best weight plus a bonus for each further source, less a penalty where
+    a lone source is no deterministic one and the edit inflects a word (without a lexicon none is known to). One pass over all
+    stages, hence associative.
     """
     c = candidates.withColumn("w", weight(F.col("category"))).withColumn("ord", F.col("stage_ord") * F.lit(1_000_000) + F.col("seq"))
     g = c.groupBy("doc_id", "start", "before", "after").agg(
@@ -44,7 +74,13 @@ def merge(candidates: DataFrame) -> DataFrame:
     )
     n = F.size("sources")
     raised = F.least(F.col("w") + F.lit(EXTRA_SOURCE) * (n - 1), F.lit(1.0))
-    score = raised - F.when(~F.col("safe") & (n < MIN_VOTES), F.lit(SOLO_PENALTY)).otherwise(F.lit(0.0))
+    lone = ~F.col("safe") & (n < MIN_VOTES)
+    if lexicon is None:
+        score = raised
+    else:
+        inflects = inflections(g.filter(lone), lexicon).withColumn("inflects", F.lit(True))
+        g = g.join(inflects, ["before", "after"], "left")
+        score = raised - F.when(lone & F.col("inflects"), F.lit(SOLO_PENALTY)).otherwise(F.lit(0.0))
     return g.select("doc_id", "start", "before", "after", F.round(F.greatest(F.least(score, F.lit(1.0)), F.lit(0.0)), 4).alias("confidence"), "category", "sources", "ord")
 
 
@@ -55,36 +91,41 @@ def resolve_span(text: Column, start: Column, before: Column) -> Column:
     return F.when((start >= 0) & (F.substr(text, start + 1, n) == before), start).when((n > 0) & (times == 1), F.instr(text, before) - 1)
 
 
-def reject_reason(before: Column, after: Column, confidence: Column, category: Column, span: Column, protected: Column | None = None) -> Column:
-    """The first reason against an edit, in fixed order; null if there is none."""
-    count = lambda c: F.size(F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != ""))
-    compound = lambda c: F.regexp_extract_all(F.lower(c), F.lit(f"[{T.LETTER}]+(?:-[{T.LETTER}]+)+"), F.lit(0))
-    generative = ~deterministic(category)
+def reject_reason(before: Column, after: Column, confidence: Column, category: Column, span: Column, protected: Column | None = None, unproven: Column | None = None, guard: Column | None = None) -> Column:
+    """The first reason against an edit, in fixed order; null if there is none.
+
+    unproven: whether an edit only inflects a word; guard: the reason of the guard of generative edits (see guards.py).
+    """
+    compound = lambda c: F.regexp_extract_all(c, F.lit("[А-Яа-яЁё]+(?:-[А-Яа-яЁё]+)+"), F.lit(0))
+    word = "[А-Яа-яЁёA-Za-z]+"
+    split = (before.rlike(f"^{word}$") & after.rlike(f"^{word} +{word}$")) | (before.rlike(f"^{word} +{word}$") & after.rlike(f"^{word}$"))
     out = F.when(F.coalesce(before, F.lit("")) == F.coalesce(after, F.lit("")), "no change")
     out = out.when((confidence < MIN_CONFIDENCE) | (F.length(before) > MAX_BEFORE), "weak or long")
     out = out.when(T.only_yo_differs(before, after), "only yo")
     if protected is not None:
-        out = out.when(protected, "protected word")
-    out = out.when(F.concat_ws("|", compound(before)) != F.concat_ws("|", compound(after)), "compound changed")
-    out = out.when(generative & (F.concat_ws("|", T.numbers(before)) != F.concat_ws("|", T.numbers(after))), "digits changed")
-    out = out.when(generative & (F.concat_ws("|", T.acronyms(before)) != F.concat_ws("|", T.acronyms(after))), "acronym changed")
-    out = out.when(generative & (T.quotes(before) != T.quotes(after)), "quotes changed")
-    out = out.when(generative & (count(before) != count(after)), "words split or merged")
+        out = out.when(protected & ~starts_with(category, MAY_TOUCH), "protected word")
+    out = out.when((F.size(compound(before)) > 0) & (F.concat_ws("|", compound(before)) != F.concat_ws("|", compound(after))), "compound changed")
+    if unproven is not None:
+        out = out.when(unproven & starts_with(category, UNPROVEN), "unproven inflection")
+    out = out.when(split & starts_with(category, UNPROVEN), "words split or merged")
+    if guard is not None:
+        out = out.when(guard.isNotNull(), guard)
     return out.when(span.isNull(), "no span")
 
 
-def choose(ordered: Column, cap: int) -> Column:
-    """Greedy choice over an ordered array of structs with s, e (half open): those that overlap no earlier choice, at most cap."""
+def choose(ordered: Column) -> Column:
+    """Greedy choice over an ordered array of structs with s, e (half open): those that overlap no earlier choice."""
     empty = F.filter(ordered, lambda x: F.lit(False))
     free = lambda acc, x: ~F.exists(acc, lambda a: (a["s"] < x["e"]) & (x["s"] < a["e"]))
-    return F.aggregate(ordered, empty, lambda acc, x: F.when((F.size(acc) < cap) & free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
+    return F.aggregate(ordered, empty, lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
 
 
-def decide(merged: DataFrame, texts: DataFrame, cap: int = MAX_CHANGES, protected: DataFrame | None = None) -> DataFrame:
-    """merged candidates, texts (doc_id, text) -> (doc_id, text, edits array<struct<s,e,before,after,confidence,category>>).
+def decide(merged: DataFrame, texts: DataFrame, cap: int | None = None, protected: DataFrame | None = None, lexicon: DataFrame | None = None) -> DataFrame:
+    """merged candidates, texts (doc_id, text) -> (doc_id, text, edits array<struct<s,e,before,after,confidence,category>>, dropped).
 
     Every text comes back, in order of start within edits. Candidates meet their text in one join on doc_id; the choice is a
-    fold over the candidates of one document, strongest first, longest first, then first come.
+    fold over the candidates of one document, strongest first, longest first, then first come. cap: the most edits of a document,
+    as one request may ask for; ``dropped`` tells how many more were chosen. Without a cap all are made.
     """
     c = merged.join(texts.select("doc_id", "text"), "doc_id")
     if protected is not None:
@@ -96,7 +137,12 @@ def decide(merged: DataFrame, texts: DataFrame, cap: int = MAX_CHANGES, protecte
     else:
         guard = None
     c = c.withColumn("span", resolve_span(F.col("text"), F.col("start"), F.col("before")))
-    reason = reject_reason(F.col("before"), F.col("after"), F.col("confidence"), F.col("category"), F.col("span"), guard)
+    unproven = None
+    if lexicon is not None:
+        one_word = c.filter(F.col("before").rlike("^[А-Яа-яЁё-]+$") & F.col("after").rlike("^[А-Яа-яЁё-]+$") & starts_with(F.col("category"), UNPROVEN))
+        c = c.join(inflections(one_word, lexicon, same_pos=True).withColumn("unproven", F.lit(True)), ["before", "after"], "left")
+        unproven = F.coalesce("unproven", F.lit(False))
+    reason = reject_reason(F.col("before"), F.col("after"), F.col("confidence"), F.col("category"), F.col("span"), guard, unproven)
     ok = c.filter(reason.isNull())
     key = F.struct(
         (-F.col("confidence")).alias("c"),
@@ -110,10 +156,11 @@ def decide(merged: DataFrame, texts: DataFrame, cap: int = MAX_CHANGES, protecte
         "category",
     )
     # A document has few candidates: the array is bounded by its length.
-    picked = ok.groupBy("doc_id").agg(F.array_sort(F.collect_list(key)).alias("cand")).select("doc_id", choose(F.col("cand"), cap).alias("edits"))
-    edits = F.array_sort(F.transform("edits", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["before"].alias("before"), x["after"].alias("after"), x["confidence"].alias("confidence"), x["category"].alias("category"))))
+    picked = ok.groupBy("doc_id").agg(F.array_sort(F.collect_list(key)).alias("cand")).select("doc_id", choose(F.col("cand")).alias("chosen"))
+    made = F.col("chosen") if cap is None else F.slice("chosen", 1, cap)
+    edits = F.array_sort(F.transform(made, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["before"].alias("before"), x["after"].alias("after"), x["confidence"].alias("confidence"), x["category"].alias("category"))))
     out = texts.select("doc_id", "text").join(picked, "doc_id", "left")
-    return out.select("doc_id", "text", F.coalesce(edits, F.from_json(F.lit("[]"), "array<struct<s:int,e:int,before:string,after:string,confidence:double,category:string>>")).alias("edits"))
+    return out.select("doc_id", "text", F.coalesce(edits, F.from_json(F.lit("[]"), "array<struct<s:int,e:int,before:string,after:string,confidence:double,category:string>>")).alias("edits"), F.coalesce(F.size("chosen") - F.size(made), F.lit(0)).alias("dropped"))
 
 
 def apply_edits(text: Column, edits: Column) -> Column:
@@ -217,7 +264,7 @@ def word_candidates(texts: DataFrame) -> DataFrame:
     return hits.select("doc_id", F.explode(F.array_compact(F.array(*made))).alias("c")).select("doc_id", "c.*")
 
 
-def correct(texts: DataFrame, cap: int = MAX_CHANGES) -> DataFrame:
-    """(doc_id, text) -> (doc_id, n_changes, corrected): all stages, vote, decision, application."""
+def correct(texts: DataFrame, cap: int | None = None) -> DataFrame:
+    """(doc_id, text) -> (doc_id, n_changes, dropped, corrected): all stages, vote, decision, application."""
     d = decide(merge(word_candidates(texts)), texts, cap)
-    return d.select("doc_id", F.size("edits").alias("n_changes"), apply_edits(F.col("text"), F.col("edits")).alias("corrected"))
+    return d.select("doc_id", F.size("edits").alias("n_changes"), "dropped", apply_edits(F.col("text"), F.col("edits")).alias("corrected"))

@@ -7,14 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def exact_duplicates(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, first, copies): each row with the least key of its class of equal texts and the size of the class.
+#: Rows from which on a class of equal texts is joined by broadcast; there are at most rows / HOT such classes.
+HOT = 5_000_000
 
-    Classes are found by hash with a partial aggregation; texts never leave the scan.
+
+def exact_duplicates(rows: DataFrame, key: str, text: str, hot: int = HOT) -> DataFrame:
+    """(key, first, copies): each row with the least key of its class of equal texts and the size of the class. Null counts as ''.
+
+    Classes are found by hash with a partial aggregation; texts never leave the scan. Rows of huge classes (empty texts, say)
+    never meet in one task: those few classes go to the rows.
     """
     h = rows.select(key, F.sha2(F.coalesce(text, F.lit("")), 256).alias("h"))
     cls = h.groupBy("h").agg(F.min(key).alias("first"), F.count("*").alias("copies"))
-    return h.join(cls, "h").select(key, "first", "copies")
+    large = F.broadcast(cls.filter(F.col("copies") >= hot))
+    small = h.join(large.select("h"), "h", "left_anti").join(cls.filter(F.col("copies") < hot), "h")
+    return h.join(large, "h").unionByName(small).select(key, "first", "copies")
 
 
 def new_only(rows: DataFrame, known: DataFrame, text: str, order: str) -> DataFrame:

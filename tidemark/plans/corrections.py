@@ -53,15 +53,15 @@ _STAGES = f"""
         select v.*, p.text from voted v join page p using (doc_id)
         where v.before <> v.after and length(v.before) <= 120
             and not (v.before <> v.after and translate(lower(v.before), 'ё', 'е') = translate(lower(v.after), 'ё', 'е'))
-            and array_to_string(regexp_extract_all(lower(v.before), '[{L}]+(?:-[{L}]+)+'), '|') = array_to_string(regexp_extract_all(lower(v.after), '[{L}]+(?:-[{L}]+)+'), '|')
+            and (array_to_string(regexp_extract_all(v.before, '[А-Яа-яЁё]+(?:-[А-Яа-яЁё]+)+'), '|') in ('', array_to_string(regexp_extract_all(v.after, '[А-Яа-яЁё]+(?:-[А-Яа-яЁё]+)+'), '|')))
             and substr(p.text, cast(v.start + 1 as bigint), length(v.before)) = v.before
     ),
     lst as (select doc_id, any_value(text) as text, list(struct_pack(s := cast(start as integer), e := cast(start + length(before) as integer), after := after) order by -confidence, -length(before), ord) as c from ok group by doc_id),
-    picked as (select doc_id, text, list_sort(list_reduce(list_transform(c, lambda y: [y]), lambda acc, x: case when len(acc) < 12 and len(list_filter(acc, lambda a: a.s < x[1].e and x[1].s < a.e)) = 0 then list_concat(acc, x) else acc end, c[1:0])) as ed from lst),
+    picked as (select doc_id, text, list_sort(list_reduce(list_transform(c, lambda y: [y]), lambda acc, x: case when len(list_filter(acc, lambda a: a.s < x[1].e and x[1].s < a.e)) = 0 then list_concat(acc, x) else acc end, c[1:0])) as ed from lst),
     cut as (select doc_id, text, ed, list_prepend(0, list_transform(ed, lambda x: x.e)) as tails from picked),
     done as (select doc_id, len(ed) as n,
         array_to_string(list_transform(range(1, len(ed) + 1), lambda i: substr(text, tails[i] + 1, ed[i].s - tails[i]) || ed[i].after), '') || substr(text, tails[len(tails)] + 1) as corrected from cut)
-    select p.doc_id, cast(coalesce(d.n, 0) as integer) as n_changes, coalesce(d.corrected, p.text) as corrected from page p left join done d using (doc_id)"""
+    select p.doc_id, cast(coalesce(d.n, 0) as integer) as n_changes, 0 as dropped, coalesce(d.corrected, p.text) as corrected from page p left join done d using (doc_id)"""
 )
 def correct_documents(spark, d):
     return C.correct(_pages(spark, d))
@@ -98,7 +98,7 @@ def decide_greedy(spark, d):
     s = F.col("value").cast("int") % 97
     e = table(spark, d, "events").select(F.floor(F.col("event_id") / 200).alias("grp"), "event_id", s.alias("s"), (s + 1 + F.col("event_id") % 9).cast("int").alias("e"))
     key = F.struct((F.col("s") - F.col("e")).alias("o"), "s", F.col("event_id").alias("id"), "e")
-    c = e.groupBy("grp").agg(F.array_sort(F.collect_list(key)).alias("c")).select("grp", C.choose(F.col("c"), 12).alias("got"))
+    c = e.groupBy("grp").agg(F.array_sort(F.collect_list(key)).alias("c")).select("grp", F.slice(C.choose(F.col("c")), 1, 12).alias("got"))
     return c.select("grp", F.size("got").alias("chosen"), F.aggregate("got", F.lit(0).cast("long"), lambda a, x: a + x["id"]).alias("ids"))
 
 

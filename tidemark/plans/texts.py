@@ -180,13 +180,46 @@ def logical_segments(spark, d):
     return segments.sentences(s, breaks=2)
 
 
-@QUERIES.add(None)
+_TRIM = r"'^\s+|\s+$', '', 'g'"
+
+
+@QUERIES.add(
+    f"""with recursive doc as (select doc_id, list_filter(list_transform(regexp_split_to_array(any_value(text), '\\n{{2,}}'), lambda p: regexp_replace(p, {_TRIM})), lambda p: p <> '') as ps from documents where text is not null group by doc_id),
+    f as (
+        select doc_id, ps, 1 as i, '' as open, 0::bigint as n, '' as last, 0 as k, null::varchar as done from doc
+        union all
+        select doc_id, ps, i + 1,
+            case when full_ then right(last, 150) || chr(10) || chr(10) || p when open = '' then p else open || chr(10) || chr(10) || p end,
+            case when full_ then least(length(last), 150) else n end + length(p) + 2, p, k + cast(full_ as integer), case when full_ then open end
+        from (select *, ps[i] as p, n + length(ps[i]) + 2 > 1200 and open <> '' as full_ from f where i <= len(ps))
+    ),
+    c as (select doc_id, k - 1 as k, done as text from f where done is not null union all select doc_id, k, open from f where i > len(ps) and open <> '')
+    select doc_id as key, cast(k as integer) as chunk_id, cast(length(regexp_replace(text, {_TRIM})) as integer) as n, md5(regexp_replace(text, {_TRIM})) as text_md5 from c"""
+)
 def paragraph_chunks(spark, d):
     t = table(spark, d, "documents").select(F.col("doc_id").alias("key"), "text").dropDuplicates(["key"])
     return segments.paragraph_chunks(t, 1200, 150).select("key", "chunk_id", F.length("text").alias("n"), F.md5("text").alias("text_md5"))
 
 
-@QUERIES.add(None)
+def _last(mark: str) -> str:
+    """Where a mark last stands in the second half of the window, as an offset; null if it does not."""
+    m, back = f"'{mark}'".replace("\n", "' || chr(10) || '"), f"'{mark[::-1]}'".replace("\n", "' || chr(10) || '")
+    return f"case when contains(w, {m}) then lo + 300 + length(w) - (instr(list_aggregate(list_reverse(string_split(w, '')), 'string_agg', ''), {back}) - 1) - {len(mark)} end"
+
+
+@QUERIES.add(
+    f"""with recursive doc as (select doc_id, regexp_replace(regexp_replace(any_value(text), '[ \\t]+', ' ', 'g'), {_TRIM}) as t from documents where text is not null group by doc_id),
+    f as (
+        select doc_id, t, 0::bigint as lo, null::bigint as s, null::bigint as e, 0 as i from doc
+        union all
+        select doc_id, t, case when hi = length(t) then hi else coalesce(case when instr(substr(t, nx + 1, least(hi, nx + 80) - nx), ' ') > 0 then nx + instr(substr(t, nx + 1, least(hi, nx + 80) - nx), ' ') end, nx) end, lo, hi, i + 1
+        from (select *, greatest(lo + 1, hi - 80) as nx from (select doc_id, t, lo, i, case when length(t) - lo <= 600 then length(t) else
+            coalesce({_last(chr(10) * 2)} + 2, {_last(chr(10))} + 1, {_last('. ')} + 2, {_last('; ')} + 2, {_last(', ')} + 2, {_last(' ')}, lo + 600) end as hi
+            from (select *, substr(t, lo + 301, 300) as w from f where lo < length(t) and coalesce(e, -1) < length(t))))
+    ),
+    p as (select doc_id, i, regexp_replace(substr(t, s + 1, e - s), {_TRIM}) as x from f where s is not null)
+    select doc_id as key, cast(row_number() over (partition by doc_id order by i) - 1 as integer) as chunk_id, cast(length(x) as integer) as n, md5(x) as text_md5 from p where x <> ''"""
+)
 def hard_limit_chunks(spark, d):
     t = table(spark, d, "documents").select(F.col("doc_id").alias("key"), "text").dropDuplicates(["key"])
     return segments.hard_chunks(t, 600, 80).select("key", "chunk_id", F.length("text").alias("n"), F.md5("text").alias("text_md5"))
