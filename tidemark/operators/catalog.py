@@ -70,3 +70,18 @@ def offsets(chunks: DataFrame) -> DataFrame:
     c = chunks.select("doc_id", "chunk_id", F.length("text").alias("n")).dropDuplicates(["doc_id", "chunk_id"]).filter("n is not null")
     got = prefix.running(c, "doc_id", F.floor(F.col("chunk_id") / 256), ["chunk_id"], F.col("n") + 1, "start")
     return got.select("doc_id", "chunk_id", "start", F.col("n").cast("long").alias("n"))
+
+
+def fingerprints(chunks: DataFrame) -> DataFrame:
+    """(doc_id, fingerprint): a hash over the distinct chunks of a document in order. Texts are hashed in the scan; a document gathers
+    the hashes of its own chunks only."""
+    h = chunks.select("doc_id", "chunk_id", F.md5(F.coalesce("text", F.lit(""))).alias("h")).distinct()
+    parts = F.array_sort(F.collect_list(F.struct("chunk_id", F.concat_ws(":", F.col("chunk_id").cast("string"), "h").alias("p"))))
+    return h.groupBy("doc_id").agg(F.sha2(F.array_join(F.transform(parts, lambda x: x["p"]), "\n"), 256).alias("fingerprint"))
+
+
+def stale(now: DataFrame, built: DataFrame) -> DataFrame:
+    """(doc_id, state): documents that an index does not know ('new'), knows with another fingerprint ('changed') or has too many ('gone')."""
+    j = now.select("doc_id", F.col("fingerprint").alias("a")).join(built.select("doc_id", F.col("fingerprint").alias("b")), "doc_id", "full")
+    state = F.when(F.col("b").isNull(), "new").when(F.col("a").isNull(), "gone").when(F.col("a") != F.col("b"), "changed")
+    return j.select("doc_id", state.alias("state")).filter("state is not null")

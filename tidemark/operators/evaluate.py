@@ -20,6 +20,25 @@ def edit_rows(pairs: DataFrame) -> DataFrame:
     return words.unionByName(whole.select("case_id", F.lit(-1).alias("pos"), F.col("source").alias("before"), F.col("target").alias("after")))
 
 
+def complete(pairs: DataFrame, listed: DataFrame) -> DataFrame:
+    """pairs (case_id, source, target), listed (case_id, pos, before, after) -> the listed changes and those that the target shows but
+    the list lacks: (case_id, pos, before, after, added)."""
+    shown = edit_rows(pairs)
+    lacking = shown.join(listed.select("case_id", "pos", "before", "after"), ["case_id", "pos", "before", "after"], "left_anti")
+    cols = ("case_id", "pos", "before", "after")
+    return listed.select(*cols, F.lit(False).alias("added")).unionByName(lacking.select(*cols, F.lit(True).alias("added")))
+
+
+def punctuation(cases: DataFrame) -> DataFrame:
+    """cases (kind, text, expected, produced) -> (kind, cases, touched, exact): by clean and faulty texts, how many had their delimiters
+    changed, and how many have the expected ones."""
+    from tidemark.functions.text import delimiters
+
+    p, t, e = (delimiters(F.col(c)) for c in ("produced", "text", "expected"))
+    kind = F.when(F.col("kind") == "clean", F.lit("clean")).otherwise(F.lit("error"))
+    return cases.groupBy(kind.alias("kind")).agg(F.count("*").alias("cases"), F.count_if(p != t).alias("touched"), F.count_if(p == e).alias("exact"))
+
+
 def _ratio(a: Column, b: Column, empty: float | None) -> Column:
     return F.when(b == 0, F.lit(empty)).otherwise(a / b)
 

@@ -23,6 +23,10 @@ _NOUN_STEMS = {"femn": "служб групп смен палат схем ка
 
 def fixture(spark: SparkSession) -> DataFrame:
     """A small lexicon generated from stems and endings."""
+    return spark.createDataFrame(fixture_rows(), SCHEMA)
+
+
+def fixture_rows() -> list[tuple]:
     rows: list[tuple] = []
     n = 0
     for stem in _ADJ_STEMS:
@@ -36,7 +40,7 @@ def fixture(spark: SparkSession) -> DataFrame:
             for number, ends in zip(("sing", "plur"), _NOUN[gender]):
                 for case, end in zip(_CASES, ends):
                     rows.append((stem + end, n, stem + _NOUN[gender][0][0], "NOUN", case, number, gender, "inan", 0))
-    return spark.createDataFrame(rows, SCHEMA)
+    return rows
 
 
 def agrees(m: str, h: str) -> Column:
@@ -149,6 +153,21 @@ def spell_unique(forms: DataFrame, known: DataFrame, least: int = 5, most: int =
     return pairs.groupBy("form").agg(F.count("*").alias("n"), F.min("fixed").alias("fixed")).filter("n = 1").drop("n")
 
 
+def near_terms(words: DataFrame, terms: DataFrame, most: int = 2) -> DataFrame:
+    """(form), (term) -> (form, term, distance): words at one to ``most`` (at most two) edits from a term.
+
+    The forms that arise from leaving out up to two letters meet in an equi-join; only pairs that share one are measured.
+    """
+    if most not in (1, 2):
+        raise ValueError("most is 1 or 2")
+    twice = lambda c: F.array_distinct(F.flatten(F.transform(_neighbourhood(c), _neighbourhood)))
+    keys = _neighbourhood if most == 1 else twice
+    a = words.select("form").distinct().select("form", F.explode(keys(F.col("form"))).alias("key"))
+    b = terms.select("term").distinct().select("term", F.explode(keys(F.col("term"))).alias("key"))
+    pairs = a.join(b, "key").select("form", "term").distinct()
+    return pairs.withColumn("distance", F.levenshtein("form", "term")).filter(F.col("distance").between(1, most))
+
+
 def substitute(text: Column, fixes: Column) -> Column:
     """The text with each whole word that is a key of the map replaced, in the case of the original."""
     parts = F.regexp_extract_all(text, F.lit(f"[{T.LETTER}]+|[^{T.LETTER}]+"), F.lit(0))

@@ -256,6 +256,12 @@ def _scan(rows: DataFrame, ids: list[int], matrix: np.ndarray, k: int, same: boo
     return rows.filter("key is not null and vec is not null").select(F.col("key").cast("long"), "vec").mapInArrow(run, "qid long, key long, score double")
 
 
+def maintain(old: DataFrame, gone: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Postings without the documents of gone (key) and with those of fresh (key, text): what is unchanged is neither read nor counted
+    again."""
+    return old.join(gone.select("key").distinct(), "key", "left_anti").unionByName(postings(fresh, T.words(F.col("text"))).select(*old.columns))
+
+
 # ---- fusion and tiers --------------------------------------------------------------------------------------------------
 
 

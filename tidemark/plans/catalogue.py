@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import analytics, corrections, protocols, searching, texts
+from tidemark.plans import analytics, corrections, guarding, protocols, searching, texts
 
-MODULES = (texts, corrections, protocols, searching, analytics)
+MODULES = (texts, corrections, protocols, searching, analytics, guarding)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -177,12 +177,25 @@ def benchmark_rollup(spark, d):
 
 
 @QUERIES.add(
-    """select id, 'id not unique' as fault from bench_cases group by id having count(*) > 1
-    union all select id, 'no text' from bench_cases where coalesce(trim(text), '') = ''
-    union all select id, 'required and forbidden' from bench_cases where len(list_intersect(coalesce(must_contain, []), coalesce(must_not_contain, []))) > 0"""
+    """with b as (select id, text, must_contain, must_not_contain from bench_cases
+        union all select 'again-' || source, text, must_contain, must_not_contain from bench_cases union all select 'blank-' || id, ' ', must_contain, must_not_contain from bench_cases
+        union all select 'both-' || id, text, list_concat(coalesce(must_contain, []), ['x']), list_concat(coalesce(must_not_contain, []), ['x']) from bench_cases)
+    select id, 'id not unique' as fault from b group by id having count(*) > 1
+    union all select id, 'no text' from b where coalesce(trim(text), '') = ''
+    union all select id, 'required and forbidden' from b where len(list_intersect(coalesce(must_contain, []), coalesce(must_not_contain, []))) > 0"""
 )
 def benchmark_constraints(spark, d):
-    return evaluate.corpus_faults(table(spark, d, "bench_cases"))
+    """Faults of the cases and of faulty copies: ids that are not unique, blank texts, phrases both required and forbidden."""
+    b = table(spark, d, "bench_cases").select("id", "text", "must_contain", "must_not_contain", "source")
+    x = lambda c: F.concat(F.coalesce(c, F.array().cast("array<string>")), F.array(F.lit("x")))
+    copies = (
+        b.withColumn("id", F.concat(F.lit("again-"), "source")),
+        b.withColumns({"id": F.concat(F.lit("blank-"), "id"), "text": F.lit(" ")}),
+        b.withColumns({"id": F.concat(F.lit("both-"), "id"), "must_contain": x("must_contain"), "must_not_contain": x("must_not_contain")}),
+    )
+    for c in copies:
+        b = b.unionByName(c)
+    return evaluate.corpus_faults(b)
 
 
 _SPANS = """
@@ -273,20 +286,6 @@ def similarity_guard(spark, d):
     return c.select("id", T.similar_enough(F.col("text"), F.coalesce("expected", "text")).alias("similar"))
 
 
-@QUERIES.add(None)
-def agreement_pairs(spark, d):
-    """Adjacent modifier and noun of the lexicon that agree in no reading, over the chunks."""
-    t = table(spark, d, "rag_chunks").select(F.col("id").alias("doc_id"), "text").dropDuplicates(["doc_id"])
-    return lexicon.disagreements(t, lexicon.fixture(spark))
-
-
-@QUERIES.add(None)
-def inflect_unique(spark, d):
-    lx = lexicon.fixture(spark)
-    wanted = lx.filter("pos = 'ADJ' and `case` = 'nomn' and number = 'sing' and gender = 'masc'").select("form").distinct()
-    return lexicon.inflect(wanted, lx, {"case": "gent", "number": "sing", "gender": "femn"})
-
-
 @QUERIES.add(None)
 def noun_phrase_unification(spark, d):
     """Noun phrases of the lexicon with exactly one word that does not fit, over the chunks."""

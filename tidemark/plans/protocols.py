@@ -147,18 +147,35 @@ def neighbour_words(spark, d):
     return safety.neighbours(_cases(spark, d).select(F.col("id").alias("doc_id"), "text"))
 
 
-@QUERIES.add(None)
+@QUERIES.add(
+    f"""with c as (select id as doc_id, text from {CASES} c),
+    wr as (select doc_id, unnest(string_split(text, ' ')) as part, generate_subscripts(string_split(text, ' '), 1) - 1 as k from c),
+    w as (select doc_id, k, sum(length(part) + 1) over (partition by doc_id order by k) - length(part) - 1 as s, length(part) as n from wr),
+    sr as (select doc_id, unnest(string_split(text, '. ')) as part, generate_subscripts(string_split(text, '. '), 1) - 1 as j from c),
+    se as (select doc_id, sum(length(part) + 2) over (partition by doc_id order by j) - length(part) - 2 as s, length(part) as n from sr),
+    e as (select doc_id, k as seq, s, s + n as e, case k % 3 when 0 then 'draft' when 1 then 'russian-gec' else 'sage' end as category, case when k % 7 = 3 then 'digits' end as reason from w where n > 0)
+    select doc_id, cast(seq as integer) as seq, s, e, category, reason from e where reason is null and not exists (
+        select 1 from e b join se x on x.doc_id = b.doc_id and x.s <= b.s and b.s < x.s + x.n where b.reason is not null and b.doc_id = e.doc_id and b.category = e.category and x.s <= e.s and e.s < x.s + x.n)"""
+)
 def tainted_sentences(spark, d):
     """Generative edits over the words of cases: those of a family that broke the structure of their sentence fall."""
     c = _cases(spark, d).select(F.col("id").alias("doc_id"), "text")
     words = spans_of(c, " ", "k")
-    kind = F.when(F.col("k") % 3 == 0, "draft").when(F.col("k") % 3 == 1, "gec-x").otherwise("sage")
+    kind = F.when(F.col("k") % 3 == 0, "draft").when(F.col("k") % 3 == 1, "russian-gec").otherwise("sage")
     why = F.when(F.col("k") % 7 == 3, "digits")
     edits = words.filter("e > s").select("doc_id", F.col("k").alias("seq"), "s", "e", kind.alias("category"), why.alias("reason"))
     return safety.untainted(edits, spans_of(c, ". ", "j").select("doc_id", "s", "e"))
 
 
-@QUERIES.add(None)
+@QUERIES.add(
+    f"""with c as (select id as doc_id, text from {CASES} c),
+    wr as (select doc_id, unnest(string_split(text, ' ')) as part, generate_subscripts(string_split(text, ' '), 1) - 1 as idx from c),
+    w as (select doc_id, idx, sum(length(part) + 1) over (partition by doc_id order by idx) - length(part) - 1 as s, length(part) as n from wr),
+    p as (select doc_id, s, s + 8 as e, case when s % 24 = 0 then 'COMMA' else 'O' end as label, (s % 100) / 100.0::double as score from (select doc_id, unnest(range(0, length(text) + 1, 8)) as s from c)),
+    j as (select w.doc_id, w.idx, arg_max(p.label, p.e) as label, arg_max(p.score, p.e) as score from w join p on w.doc_id = p.doc_id and w.n > 0 and w.s < p.e and p.s < w.s + w.n group by 1, 2),
+    ok as (select doc_id from (select doc_id, count(*) as n from w where n > 0 group by doc_id) join (select doc_id, count(*) as m from j group by doc_id) using (doc_id) where n = m)
+    select doc_id, cast(idx as integer) as idx, label, score from j where doc_id in (select doc_id from ok)"""
+)
 def word_label_join(spark, d):
     """Predictions over blocks of eight characters meet the words of cases; the last-ending one wins."""
     c = _cases(spark, d).select(F.col("id").alias("doc_id"), "text")

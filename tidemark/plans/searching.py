@@ -97,7 +97,13 @@ def _chunk_hits(spark, d):
     return retrieval.cosine_top_k(c.filter("key % 50 = 0").select(F.col("key").alias("qid"), "vec"), c, 5)
 
 
-@QUERIES.add(None)
+@QUERIES.add(
+    """with c as (select id as key, any_value(vec) as vec from rag_chunks where vec is not null group by id),
+    u as (select key, list_transform(vec, lambda x: x / sqrt(list_sum(list_transform(vec, lambda y: y * y)))) as v from c where list_sum(list_transform(vec, lambda y: y * y)) > 0),
+    s as (select q.key as qid, r.key, round(list_inner_product(q.v, r.v), 9) as score from u q join u r on q.key <> r.key and len(q.v) = len(r.v) where q.key % 50 = 0),
+    k as (select *, row_number() over (partition by qid order by score desc, key) as rank from s)
+    select qid, key, round(score, 6) as score from k where rank <= 5"""
+)
 def chunk_vector_topk(spark, d):
     return _chunk_hits(spark, d).select("qid", "key", F.round("score", 6).alias("score"))
 
@@ -139,7 +145,18 @@ def contains_exact_phrase(spark, d):
     return got.filter("tier = 1").select("qid", "key")
 
 
-@QUERIES.add(None)
+@QUERIES.add(
+    _INDEX
+    + f""",
+    ph as (select qid, lower(phrase) as phrase, regexp_extract_all(translate(lower(phrase), 'ё', 'е'), '[a-zа-я0-9]+') as w from {_PHRASES} p),
+    qf as (select qid, phrase, len(list_distinct(w)) as m, term, count(*) as qf from (select qid, phrase, w, unnest(w) as term from ph) group by all),
+    every as (select qid, phrase, key, sum(qf * idf * tf * 25e-1 / (tf + 15e-1 * (25e-2 + 75e-2 * dl / avgdl))) as score from qf join post using (term) join idf using (term) join dl using (key), st group by qid, phrase, m, key having count(*) = m),
+    hit as (select e.*, string_split(' ' || lower(d.text) || ' ', e.phrase) as parts from every e join doc d using (key)),
+    tier as (select qid, key, score, len(list_filter(range(1, len(parts)), lambda i: not regexp_matches(parts[i], '[\\p{{L}}\\p{{N}}_]$') and not regexp_matches(parts[i + 1], '^[\\p{{L}}\\p{{N}}_]'))) > 0 as whole from hit),
+    ranked as (select qid, key, case when whole then 1 else 2 end as tier, case when whole then 1e0 else 95e-2 - least(row_number() over (partition by qid order by round(score, 6) desc, key), 100) * 1e-3 end as score from tier),
+    k as (select *, row_number() over (partition by qid order by tier, score desc, key) as r from ranked)
+    select qid, key, tier, round(score, 4) as score from k where r <= 10"""
+)
 def tiered_search(spark, d):
     return retrieval.tiered(_phrases(spark, d), _docs(spark, d), 10).select("qid", "key", "tier", F.round("score", 4).alias("score"))
 
@@ -197,9 +214,10 @@ def active_chunks(spark, d):
     return got.select("doc_id", "chunk_id", "path", "version", F.length("text").cast("long").alias("n"))
 
 
-@QUERIES.add("select distinct doc_id from rag_documents d where status = 'active' and not exists (select 1 from rag_chunks c where c.doc_id = d.doc_id)")
+@QUERIES.add("select distinct doc_id from rag_documents d where status = 'active' and not exists (select 1 from rag_chunks c where c.chunk_id > 0 and c.doc_id = d.doc_id)")
 def documents_without_chunks(spark, d):
-    return catalog.without_active(table(spark, d, "rag_documents"), table(spark, d, "rag_chunks")).distinct()
+    """Active documents without a chunk behind the first."""
+    return catalog.without_active(table(spark, d, "rag_documents"), table(spark, d, "rag_chunks").filter("chunk_id > 0")).distinct()
 
 
 @QUERIES.add(
