@@ -2,8 +2,12 @@
 
 import itertools
 import json
+import os
 import zipfile
+from datetime import datetime
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -255,6 +259,22 @@ def test_diff(spark):
     assert all(r.rewrite for r in diff.rewrite_guard(D).collect())
 
 
+def test_streams_in_several_triggers(spark, tmp_path):
+    rows_ = [("2024-01-01 10:00:00", 1), ("2024-01-02 09:00:00", 2), ("2024-01-05 00:30:00", 3), ("2024-01-01 11:00:00", 4)]
+    (tmp_path / "in").mkdir()
+    for k, (ts, event) in enumerate(rows_):
+        pq.write_table(pa.table({"ts": pa.array([datetime.fromisoformat(ts)], pa.timestamp("us", "UTC")), "event_id": [event]}), tmp_path / "in" / f"{k}.parquet")
+        os.utime(tmp_path / "in" / f"{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    want = {("2024-01-01", 2), ("2024-01-02", 1), ("2024-01-05", 1)}
+    got = events.daily_counts(spark, str(tmp_path / "in"), files_per_trigger=1)
+    assert {(str(r.day.date()), r.n) for r in got.collect()} == want
+    # Under a watermark of a day the row that comes four days late is dropped, and only closed windows come out.
+    stream = spark.readStream.schema("ts timestamp, event_id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = events.watermarked(stream, "1 day", "1 day").writeStream.outputMode("append").format("memory").queryName("late_rows").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {(str(r.start.date()), r.n) for r in spark.table("late_rows").collect()} == {("2024-01-01", 1), ("2024-01-02", 1)}
+
+
 def test_exact_duplicates_of_huge_classes(spark):
     df = spark.createDataFrame([(i, "" if i % 3 else None) for i in range(30)] + [(100, "а"), (101, "а"), (102, "б")], "id int, text string")
     want = rows(corpus.exact_duplicates(df, "id", "text"))

@@ -168,8 +168,13 @@ def near_terms(words: DataFrame, terms: DataFrame, most: int = 2) -> DataFrame:
     return pairs.withColumn("distance", F.levenshtein("form", "term")).filter(F.col("distance").between(1, most))
 
 
+def spelled_words(text: Column) -> Column:
+    """Words in small letters that a dictionary can tell about: of one script, without separate accents."""
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}]+"), F.lit(0)), lambda w: w.rlike("^(?:[а-яё]+|[a-zà-öø-ÿ]+)$"))
+
+
 def substitute(text: Column, fixes: Column) -> Column:
-    """The text with each whole word that is a key of the map replaced, in the case of the original."""
-    parts = F.regexp_extract_all(text, F.lit(f"[{T.LETTER}]+|[^{T.LETTER}]+"), F.lit(0))
-    new = F.transform(parts, lambda p: F.coalesce(F.when(F.try_element_at(fixes, T.fold_yo(p)).isNotNull(), T.case_like(F.try_element_at(fixes, T.fold_yo(p)), p)), p))
+    """The text with each whole word that is a key of the map (in small letters) replaced, in the case of the original."""
+    parts = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{M}]+|[^\p{L}\p{M}]+"), F.lit(0))
+    new = F.transform(parts, lambda p: F.coalesce(F.when(F.try_element_at(fixes, F.lower(p)).isNotNull(), T.case_like(F.try_element_at(fixes, F.lower(p)), p)), p))
     return F.when(fixes.isNull() | (text == ""), text).otherwise(F.array_join(new, ""))

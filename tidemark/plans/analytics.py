@@ -190,9 +190,11 @@ def star_nation_revenue(spark, d):
     return j.groupBy("n_name").agg(F.countDistinct("o_orderkey").alias("orders"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
 
 
-@QUERIES.add("select c_mktsegment, count(*) as idle from customer where not exists (select 1 from orders where o_custkey = c_custkey) group by 1")
+@QUERIES.add("select c_mktsegment, count(*) as idle from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderdate >= date '2001-06-01') group by 1")
 def star_idle_customers(spark, d):
-    c = table(spark, d, "customer").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    """Customers without an order since a day."""
+    recent = table(spark, d, "orders").filter("o_orderdate >= date'2001-06-01'").select(F.col("o_custkey").alias("c_custkey"))
+    c = table(spark, d, "customer").join(recent, "c_custkey", "left_anti")
     return c.groupBy("c_mktsegment").agg(F.count("*").alias("idle"))
 
 

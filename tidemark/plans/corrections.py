@@ -127,19 +127,42 @@ def positional_word_diff(spark, d):
     return evaluate.edit_rows(c.select(F.col("id").alias("case_id"), F.col("text").alias("source"), F.coalesce("expected", "text").alias("target")))
 
 
-def _spell_rows(spark, d):
-    """Eval cases with what the dictionary spell-check makes of them; its dictionary is the clean cases."""
+def _spelling(spark, d):
+    """The words of the cases, and the fixes of the spell-check, whose dictionary is what stands often in clean cases and chunks."""
     c = _cases(spark, d).filter("text is not null")
-    known = c.filter("kind = 'clean'").select(F.explode(T.skeleton(F.col("text"))).alias("form")).union(table(spark, d, "rag_chunks").select(F.explode(T.skeleton(F.col("text"))))).groupBy("form").agg(F.count("*").alias("n")).filter("n >= 5")
-    toks = c.select(F.col("id").alias("case_id"), F.explode(F.array_distinct(T.skeleton(F.col("text")))).alias("form"))
+    words = lambda df: df.select(F.explode(lexicon.spelled_words(F.col("text"))).alias("form"))
+    known = words(c.filter("kind = 'clean'")).union(words(table(spark, d, "rag_chunks"))).groupBy("form").agg(F.count("*").alias("n")).filter("n >= 5")
+    toks = c.select(F.col("id").alias("case_id"), F.explode(F.array_distinct(lexicon.spelled_words(F.col("text")))).alias("form"))
     fixes = lexicon.spell_unique(toks.select("form"), known.select("form"))
+    return toks, fixes
+
+
+def _spell_rows(spark, d):
+    """Eval cases with what the dictionary spell-check makes of them."""
+    c = _cases(spark, d).filter("text is not null")
+    toks, fixes = _spelling(spark, d)
     sub = toks.join(fixes, "form").groupBy("case_id").agg(F.map_from_entries(F.collect_set(F.struct("form", "fixed"))).alias("m"))
     return c.withColumnRenamed("id", "case_id").join(sub, "case_id", "left").withColumn("produced", lexicon.substitute(F.col("text"), F.col("m")))
 
 
-@QUERIES.add(None)
+# Edits are counted over bytes there, so each letter becomes one byte first, by script.
+_CYR_BYTES = "'абвгдежзийклмнопрстуфхцчшщъыьэюяё', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456'"
+_LATIN_BYTES = "'" + "".join(map(chr, [*range(0xE0, 0xF7), *range(0xF8, 0x100)])) + "', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ01234'"
+_BYTES = f"case when regexp_matches(f, '[а-яё]') then translate(f, {_CYR_BYTES}) else '#' || translate(f, {_LATIN_BYTES}) end"
+
+
+@QUERIES.add(
+    rf"""with c as (select id, any_value(text) as text, any_value(kind) as kind from eval_cases where text is not null group by id),
+    w as (select kind, unnest(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}]+'), lambda w: regexp_full_match(w, '[а-яё]+|[a-zà-öø-ÿ]+'))) as f from (select kind, text from c union all select 'chunk', text from rag_chunks)),
+    known as (select f from w where kind in ('clean', 'chunk') group by f having count(*) >= 5),
+    asked as (select distinct f, {_BYTES} as b from w where kind <> 'chunk' and length(f) between 5 and 24 and f not in (select f from known)),
+    base as (select f, {_BYTES} as b from known where length(f) between 4 and 25),
+    pairs as (select a.f as form, k.f as fixed from asked a, base k where abs(length(a.b) - length(k.b)) <= 1 and damerau_levenshtein(a.b, k.b) = 1 and translate(a.f, 'ё', 'е') <> translate(k.f, 'ё', 'е'))
+    select form, min(fixed) as fixed from pairs group by form having count(*) = 1"""
+)
 def spell_unique(spark, d):
-    return _spell_rows(spark, d).filter("produced <> text").select("case_id", "produced")
+    """Unknown words of the cases with exactly one known word at one edit."""
+    return _spelling(spark, d)[1]
 
 
 @QUERIES.add(None)

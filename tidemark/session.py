@@ -27,11 +27,27 @@ def session(app: str = "tidemark", cores: int | str = "*", **conf: str) -> Spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder of our own only where none is set, as in tests."""
+    """The shared folder of the cluster, from spark.checkpoint.dir. Where none is set, a folder of our own in local mode, as in tests;
+    on a cluster an error, as a folder of one machine would not be seen by the others."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = os.path.join(tempfile.gettempdir(), "tidemark-checkpoints")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def discard(spark: SparkSession, older_than_hours: float = 24.0) -> list[str]:
+    """Removes the tables and files that operators left in the shared folder (prefix tidemark-) so many hours ago; gives their names."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(checkpoint_dir(spark))
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    least = spark._jvm.java.lang.System.currentTimeMillis() - int(older_than_hours * 3_600_000)
+    gone = []
+    for status in fs.listStatus(folder) if fs.exists(folder) else ():
+        if status.getPath().getName().startswith("tidemark-") and status.getModificationTime() <= least:
+            fs.delete(status.getPath(), True)
+            gone.append(status.getPath().getName())
+    return sorted(gone)

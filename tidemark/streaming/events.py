@@ -23,21 +23,26 @@ def sessions(events: DataFrame, gap: str, key: str = "user_id") -> DataFrame:
     return g.select(key, F.col("first_ts").cast("timestamp_ntz").alias("first_ts"), F.col("last_ts").cast("timestamp_ntz").alias("last_ts"), "n")
 
 
-def daily_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Daily counts of a Parquet table by Structured Streaming: watermark, tumbling window, append to a table, all input at once.
+def watermarked(stream: DataFrame, size: str, delay: str) -> DataFrame:
+    """(start, n) of a stream with ts: tumbling counts whose state is bounded by a watermark; events later than ``delay`` are dropped."""
+    g = stream.withWatermark("ts", delay).groupBy(F.window("ts", size).alias("w")).agg(F.count("*").alias("n"))
+    return g.select(F.col("w.start").alias("start"), "n")
 
-    State is bounded by the watermark; the sink is a folder whose commits are exactly-once. The last windows, which no later
-    event closes, are flushed by an end-of-input row far ahead that is filtered out again.
+
+def daily_counts(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
+    """Daily counts of the files at a path, made by a stream that takes so many of them a trigger and is driven to their end.
+
+    Each micro-batch adds its own partial counts under its number, overwriting them if it is run again, so that the result is
+    exactly-once, no event is ever too late and no state is kept; partial counts are summed when they are read.
     """
     base = f"{checkpoint_dir(spark)}/tidemark-stream-{uuid.uuid4().hex}"
-    last = spark.read.parquet(path).agg(F.max("ts")).scalar()
-    feed = spark.read.parquet(path).select(F.col("ts").cast("timestamp").alias("ts"), F.lit(1).alias("real"))
-    end = spark.range(1).select((last + F.expr("interval 3650 days")).cast("timestamp").alias("ts"), F.lit(0).alias("real"))
-    feed.write.parquet(f"{base}/in/part=0")
-    end.write.parquet(f"{base}/in/part=1")
-    stream = spark.readStream.schema("ts timestamp, real int, part int").option("maxFilesPerTrigger", 1_000_000).parquet(f"{base}/in")
-    counts = stream.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 day").alias("w")).agg(F.sum("real").alias("n"))
-    out = counts.select(F.col("w.start").alias("day"), "n")
-    q = out.writeStream.outputMode("append").option("checkpointLocation", f"{base}/state").format("parquet").option("path", f"{base}/out").trigger(availableNow=True).start()
+    # As a pattern the path may name a folder or one file.
+    source = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    q = source.select("ts").writeStream.foreachBatch(add).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema("day timestamp, n long").parquet(f"{base}/out").filter("n > 0").select(F.col("day").cast("timestamp_ntz").alias("day"), "n")
+    parts = spark.read.schema("day timestamp_ntz, n long, batch int").parquet(f"{base}/out")
+    return parts.groupBy("day").agg(F.sum("n").alias("n"))
