@@ -74,14 +74,14 @@ NORM_CUES = r"(?iu)регламент|приказ|инструкци|полож
 
 
 def plan_queries(text: Column, most: int = 5) -> Column:
-    """array<string> of retrieval queries of a text: abbreviations, abbreviations with what follows, then its first twelve content
+    """array<string> of retrieval queries of a text: abbreviations, what follows them (up to 160 characters of the sentence), then its first twelve content
     words; distinct without regard to case, in that order."""
     capital = F.filter(T.acronyms(text), lambda w: F.length(w) >= 2)
-    tails = F.regexp_extract_all(text, F.lit(r"[A-ZА-ЯЁ]{2,12}[ -][^.!?;\n]{3,60}"), F.lit(0))
+    tails = F.transform(F.regexp_extract_all(text, F.lit(r"(?:^|[^\p{L}\p{N}_])[A-ZА-ЯЁ]{2,12}\s+([^\n.]{3,160})"), F.lit(1)), lambda t: F.regexp_replace(t, r"\s+", " "))
     stop = F.array(*map(F.lit, STOP))
     content = F.slice(F.filter(T.skeleton(text), lambda w: ~F.array_contains(stop, w) & (F.length(w) > 2)), 1, 12)
-    everything = F.filter(F.concat(capital, tails, F.array(F.array_join(content, " "))), lambda q: F.length(F.trim(q)) > 0)
-    folded = F.transform(everything, lambda q: F.lower(F.trim(q)))
+    everything = F.filter(F.transform(F.concat(capital, tails, F.array(F.array_join(content, " "))), lambda q: F.btrim(q, F.lit(" ,;:"))), lambda q: F.length(q) > 1)
+    folded = F.transform(everything, lambda q: F.lower(q))
     first = F.filter(F.sequence(F.lit(1), F.greatest(F.size(everything), F.lit(1))), lambda i: (i <= F.size(everything)) & (F.array_position(folded, F.try_element_at(folded, i)) == i))
     return F.slice(F.transform(first, lambda i: F.trim(F.element_at(everything, i))), 1, most)
 

@@ -32,6 +32,11 @@ SERVICE_LINES = (
     r"(?iu)^версия для печати$",
     r"(?iu)^[-=_*~ ]{3,}$",
     r"(?iu)^вверх \| к оглавлению.*$",
+    r"(?iu)^\d{1,4}\s*/\s*\d{1,4}$",
+    r"(?iu)^(информация об изменениях|об ожидаемых изменениях|внимание!).*$",
+    r"(?iu)^см\.\s+(также|комментарии|энциклопедии).*$",
+    r"(?iu)^документ предоставлен\s.*$",
+    r"(?iu)^[0-9ivx.]+\s+[^\n]+?[\s.]{3,}\d{1,4}$",
 )
 
 

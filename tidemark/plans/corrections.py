@@ -309,8 +309,12 @@ def similarity_guard(spark, d):
     return c.select("id", T.similar_enough(F.col("text"), F.coalesce("expected", "text")).alias("similar"))
 
 
-@QUERIES.add(None)
+@QUERIES.add(
+    f"""with page as (select id as doc_id, replace(any_value(text), 'архивная группа', 'плановая архивный группа') as text from rag_chunks where text is not null group by id),
+    w as (select doc_id, regexp_extract_all(lower(text), '[{L}]+|[^{L}]+') as w from page), u as (select doc_id, w, unnest(range(3, len(w) - 1)) as i from w)
+    select doc_id, cast(i - 1 as integer) as idx, 'архивный' as before, 'архивная' as after from u where w[i] = 'архивный' and w[i - 1] = ' ' and w[i + 1] = ' ' and w[i - 2] = 'плановая' and w[i + 2] = 'группа'"""
+)
 def noun_phrase_unification(spark, d):
-    """Noun phrases of the lexicon with exactly one word that does not fit, over the chunks."""
-    t = table(spark, d, "rag_chunks").select(F.col("id").alias("doc_id"), "text").dropDuplicates(["doc_id"])
-    return lexicon.unify(t, lexicon.fixture(spark))
+    """Noun phrases of the lexicon with exactly one word that does not fit, over chunks in which such phrases are planted."""
+    t = table(spark, d, "rag_chunks").select(F.col("id").alias("doc_id"), "text").filter("text is not null").dropDuplicates(["doc_id"])
+    return lexicon.unify(t.withColumn("text", F.replace("text", F.lit("архивная группа"), F.lit("плановая архивный группа"))), lexicon.fixture(spark))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions import sql as functions_sql
 from tidemark.functions import text as T
@@ -294,3 +295,66 @@ def family_votes(spark, d):
     """Votes of several model families: weights, bonus, and the penalty of lone inflections."""
     c, lx = _votes(spark, d)
     return C.merge(c, lx).select("doc_id", "before", "after", "confidence", F.array_join("sources", "|").alias("sources"))
+
+
+@QUERIES.add(
+    f"""with w as (select id, regexp_extract_all(text, '\\S+') as w from {CASES} c), u as (select id, unnest(w) as word, generate_subscripts(w, 1) - 1 as idx from w)
+    select id, cast(idx as integer) as idx, word, cast(sum(length(word) + 1) over (partition by id order by idx) - length(word) - 1 as integer) as start from u"""
+)
+def rejoined_words(spark, d):
+    """Words joined by single blanks, and where each stands then."""
+    w = _cases(spark, d).select("id", F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)).alias("w"))
+    at = F.transform("w", lambda x, i: F.struct(i.alias("idx"), x.alias("word"), F.aggregate(F.slice("w", F.lit(1), i), F.lit(0), lambda n, y: n + F.length(y) + 1).alias("start")))
+    return w.select("id", F.explode(at).alias("x")).select("id", "x.*")
+
+
+@QUERIES.add(
+    f"""with w as (select id, regexp_extract_all(text, '\\S+') as w from {CASES} c), u as (select id, unnest(w) as word, generate_subscripts(w, 1) - 1 as idx from w),
+    p as (select id, idx, word, sum(length(word) + 1) over (partition by id order by idx) - length(word) - 1 as start from u)
+    select id, cast(idx as integer) as idx, count(*) over (partition by id order by start range between 40 preceding and 60 following) - 1 as near from p"""
+)
+def text_distance_frames(spark, d):
+    """How many other words begin at most 40 characters before a word or 60 behind its start."""
+    w = Window.partitionBy("id").orderBy("start").rangeBetween(-40, 60)
+    return rejoined_words(spark, d).select("id", "idx", (F.count("*").over(w) - 1).alias("near"))
+
+
+@QUERIES.add(
+    """with s as (select distinct seg_id, req_id, seg_idx, text from segments), r as (select *, row_number() over (partition by req_id order by seg_idx, seg_id) as n, count(*) over (partition by req_id) as total from s)
+    select req_id, seg_id, greatest(total - 8, 0) as left_out from r where n <= 8"""
+)
+def capped_segments(spark, d):
+    """The first eight segments of each request, as one call may ask for, and how many more there are."""
+    s = table(spark, d, "segments").select("req_id", "seg_id", "seg_idx", "text").distinct()
+    w = Window.partitionBy("req_id")
+    s = s.withColumn("n", F.row_number().over(w.orderBy("seg_idx", "seg_id"))).withColumn("left_out", F.greatest(F.count("*").over(w) - 8, F.lit(0)))
+    return s.filter("n <= 8").select("req_id", "seg_id", "left_out")
+
+
+@QUERIES.add(
+    f"""with c as (select id, text as a, expected as b from {CASES} c where length(text) = length(expected) and text <> expected), u as (select id, a, b, unnest(range(1, length(a) + 1)) as i from c)
+    select id, i - 1 as at, substr(a, i, 1) as before, substr(b, i, 1) as after from u where substr(a, i, 1) <> substr(b, i, 1)"""
+)
+def character_changes(spark, d):
+    """Characters that differ in texts of equal length."""
+    c = _cases(spark, d).filter((F.length("text") == F.length("expected")) & (F.col("text") != F.col("expected")))
+    pairs = F.filter(F.zip_with(F.split("text", ""), F.split("expected", ""), lambda a, b: F.struct(a.alias("before"), b.alias("after"))), lambda x: F.lit(True))
+    at = c.select("id", F.posexplode(pairs).alias("at", "x")).filter("x.before <> x.after")
+    return at.select("id", F.col("at").cast("long").alias("at"), "x.before", "x.after")
+
+
+@QUERIES.add(
+    f"""with p as (select id, replace(any_value(text), 'с ИНН ', 'с ИНК № ') as text from rag_chunks where text is not null group by id),
+    a as (select id, unnest(regexp_extract_all(text, '[А-ЯЁ]{{2,12}} +№')) as found from p), k(abbr) as (values ('ГОСТ'), ('ИНН'), ('ТУ'))
+    select id, split_part(found, ' ', 1) as before, min(abbr) as after, count(*) as places from a, k
+    where split_part(found, ' ', 1) not in (select abbr from k) and {_DISTANCE.replace("word", "lower(split_part(found, ' ', 1))").replace("term", "lower(abbr)")} <= 1 and length(abbr) > 2 group by id, found having count(distinct abbr) = 1"""
+)
+def abbreviation_terms(spark, d):
+    """Abbreviations before a number sign that are one edit from exactly one of the known ones, over chunks in which some are planted."""
+    known = spark.createDataFrame([("ГОСТ",), ("ИНН",), ("ТУ",)], "abbr string")
+    t = table(spark, d, "rag_chunks").select("id", "text").filter("text is not null").dropDuplicates(["id"])
+    t = t.withColumn("text", F.replace("text", F.lit("с ИНН "), F.lit("с ИНК № ")))
+    a = t.select("id", F.explode(F.regexp_extract_all("text", F.lit("[А-ЯЁ]{2,12} +№"), F.lit(0))).alias("found")).withColumn("before", F.substring_index("found", " ", 1))
+    near = lexicon.near_terms(a.select(F.col("before").alias("form")).distinct().join(known.withColumnRenamed("abbr", "form"), "form", "left_anti"), known.filter("length(abbr) > 2").withColumnRenamed("abbr", "term"), 1)
+    one = near.groupBy("form").agg(F.count("*").alias("k"), F.min("term").alias("after")).filter("k = 1")
+    return a.join(one.withColumnRenamed("form", "before"), "before").groupBy("id", "before", "after", "found").agg(F.count("*").alias("places")).drop("found")

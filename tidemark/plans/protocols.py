@@ -83,9 +83,9 @@ _STOP = "[" + ", ".join(f"'{w}'" for w in P.STOP) + "]"
 @QUERIES.add(
     f"""with c as (select id, text from bench_cases), p as (select id, list_concat(list_concat(
             list_filter(list_filter(regexp_extract_all(text, '[{T.LETTER}0-9]+'), lambda w: regexp_matches(w, '^[A-ZА-ЯЁ]{{2,12}}$')), lambda w: length(w) >= 2),
-            regexp_extract_all(text, '[A-ZА-ЯЁ]{{2,12}}[ -][^.!?;\\n]{{3,60}}')),
+            list_transform(regexp_extract_all(text, '(?:^|[^\\p{{L}}\\p{{N}}_])[A-ZА-ЯЁ]{{2,12}}\\s+([^\\n.]{{3,160}})', 1), lambda x: regexp_replace(x, '\\s+', ' ', 'g'))),
             [array_to_string(list_slice(list_filter(regexp_extract_all(translate(lower(text), 'ё', 'е'), '[{T.LOWER}0-9]+'), lambda w: not list_contains({_STOP}, w) and length(w) > 2), 1, 12), ' ')]) as q from c),
-    f as (select id, list_filter(list_transform(q, lambda x: trim(x, ' ')), lambda x: length(x) > 0) as q from p)
+    f as (select id, list_filter(list_transform(q, lambda x: trim(x, ' ,;:')), lambda x: length(x) > 1) as q from p)
     select id, array_to_string(list_slice(list_filter(q, lambda x, i: list_position(list_transform(q, lambda y: lower(y)), lower(x)) = i), 1, 5), '|') as queries from f"""
 )
 def query_plan_terms(spark, d):
