@@ -324,6 +324,16 @@ def test_sentence_units_cover_the_text(spark):
     assert sentences.found(df).count() == 4
 
 
+def test_sentences_follow_list_levels():
+    def cut(t):
+        at = sentences.starts(t, False)
+        return [t[a:b].strip() for a, b in zip(at, [*at[1:], len(t)])]
+
+    assert cut("1. Первый. а) раз. б) два. 2. Второй.") == ["1. Первый.", "а) раз.", "б) два.", "2. Второй."]
+    assert cut("(a) First. (b) second. (1) nested. (2) more. (c) third.") == ["(a) First.", "(b) second.", "(1) nested.", "(2) more.", "(c) third."]
+    assert cut("1. а) Раз.") == ["1. а) Раз."] and cut("Он купил хлеб. и ушёл, б) нет.") == ["Он купил хлеб. и ушёл, б) нет."]
+
+
 # ---- 7 -------------------------------------------------------------------------------------------------------------------
 
 WORDS = [a + b for a in "ба во гу де жи ки лу мо на пе ру си те фу хо".split() for b in "бар вон гур дел жим кос лут мир нос пек рот сад".split()]

@@ -1,7 +1,7 @@
 """Problem 6: sentence boundaries across languages and scripts.
 
 Method: a pushdown automaton. Its stack holds the open quotations and brackets (an opener that is never closed in its block is
-not pushed, so that one stray quote cannot swallow a text) and its list level; tries of abbreviations and the terminators
+not pushed, so that one stray quote cannot swallow a text), another the open list levels; tries of abbreviations and the terminators
 of each script drive it, and it emits offsets. A terminator ends a sentence only at stack depth zero, or where the
 quotation that it closes is not followed by a reporting clause.
 
@@ -177,6 +177,35 @@ def starts(text: str | None, line_breaks_end: bool) -> list[int]:
     return out
 
 
+_MARKER = re.compile(r"\(?(?:(\d{1,3})|([а-я])|([a-z]))\)\s")
+_ALPHABETS = "", "абвгдежзиклмнопрстуфхцчшщэюя", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _marker(text: str, at: int) -> tuple[int, int] | None:
+    """(kind, ordinal) of a list marker in brackets that stands at an offset."""
+    m = _MARKER.match(text, at)
+    if not m:
+        return None
+    kind = m.lastindex
+    return (kind, int(m.group(1))) if kind == 1 else (kind, _ALPHABETS[kind - 1].find(m.group(kind)) + 1)
+
+
+def _enter(levels: list[tuple[int, int]], marker: tuple[int, int] | None) -> bool:
+    """Moves the stack of list levels on by a marker: the next item of an open level closes those within it, a first item opens a
+    level. False, and nothing moves, if the marker is neither."""
+    if marker is None:
+        return False
+    kind, n = marker
+    for k in range(len(levels) - 1, -1, -1):
+        if levels[k] == (kind, n - 1):
+            levels[k:] = [marker]
+            return True
+    if n == 1:
+        levels.append(marker)
+        return True
+    return False
+
+
 def _block(text: str, lo: int, hi: int, out: list[int]) -> None:
     while lo < hi and text[lo].isspace():
         lo += 1
@@ -191,6 +220,8 @@ def _block(text: str, lo: int, hi: int, out: list[int]) -> None:
     out.append(lo)
     cuts = []
     inner = False  # a terminator stood directly before the closing mark
+    levels: list[tuple[int, int]] = []
+    _enter(levels, _marker(text, lo))
     i = lo
     for m in _MARK.finditer(text, lo, hi):
         s, e, c = m.start(), m.end(), m.group()
@@ -253,8 +284,10 @@ def _block(text: str, lo: int, hi: int, out: list[int]) -> None:
                 end = e >= hi or text[e].isspace() or kind == "uncased" or kind == "upper" and "." not in c or kind == "upper"
             else:
                 end = True
-        if end:
-            nxt, kind = _follows(text, e, hi)
+        nxt, kind = _follows(text, e, hi)
+        # Items in small letters: a marker that goes on with an open list level, or opens one, begins a sentence.
+        item = kind in ("lower", "open", "digit", "upper") and nxt < hi and _enter(levels, _marker(text, nxt))
+        if end or item and not _LIST.fullmatch(text, first, nxt):
             if kind == "end":
                 break
             cuts.append(nxt)
