@@ -77,11 +77,7 @@ def _count(c: Column, what: str) -> Column:
 
 
 def is_service_line(line: Column) -> Column:
-    line = F.trim(line)
-    hit = F.lit(False)
-    for p in SERVICE_LINES:
-        hit = hit | line.rlike(p)
-    return hit
+    return F.trim(line).rlike("(?iu)" + "|".join(f"(?:{p.removeprefix('(?iu)')})" for p in SERVICE_LINES))
 
 
 def kept_lines(c: Column) -> Column:

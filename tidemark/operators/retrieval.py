@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,7 +62,13 @@ def bm25(queries: DataFrame, docs: DataFrame, tokens: Column, k: int | None = No
 
 
 def bm25_top_k(queries: DataFrame, docs: DataFrame, tokens: Column, k: int, digits: int = 6, per_word: bool = False) -> DataFrame:
-    """The best k documents of each query by rounded BM25 score, ties by key; per_word: by the score for the length of the document.
+    """The best k documents of each query by rounded BM25 score, ties by key; per_word: by the score for the length of the document."""
+    return top_k(bm25_scores(queries, docs, tokens, k, {"score": (digits, per_word)}).drop("kind"), k)
+
+
+def bm25_scores(queries: DataFrame, docs: DataFrame, tokens: Column, k: int, kinds: dict[str, tuple[int, bool]]) -> DataFrame:
+    """(kind, qid, key, score): for each kind, (digits, whether by the length of the document), at least the best k of each query; one
+    pass over the documents serves all kinds.
 
     The query set meets the corpus in blocks of queries whose weight matrix is held to QUERY_BLOCK_BYTES: every document is
     read once for each block, its scores against all queries of the block are one sparse product, and a task keeps its best k
@@ -78,12 +85,26 @@ def bm25_top_k(queries: DataFrame, docs: DataFrame, tokens: Column, k: int, digi
     stats = docs.agg(F.count("*").alias("n"), F.avg(F.coalesce(F.size(tokens), F.lit(0)).cast("double")).alias("avgdl")).first()
     out = None
     for block in _query_blocks(counts):
-        got = _bm25_scan(docs, tokens, block, stats.n, stats.avgdl or 1.0, k, digits, per_word)
+        got = _bm25_scan(docs, tokens, block, stats.n, stats.avgdl or 1.0, k, kinds)
         out = got if out is None else out.unionByName(got)
     if out is None:
-        kinds = dict(queries.dtypes)["qid"], dict(docs.dtypes)["key"]
-        return docs.sparkSession.createDataFrame([], f"qid {kinds[0]}, key {kinds[1]}, score double")
-    return top_k(out, k)
+        types = dict(queries.dtypes)["qid"], dict(docs.dtypes)["key"]
+        return docs.sparkSession.createDataFrame([], f"kind string, qid {types[0]}, key {types[1]}, score double")
+    return out
+
+
+def _best(state: tuple[np.ndarray, np.ndarray], s: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best k (score, key) of each row of a state and of new scores; ties by key."""
+    s, kk = np.hstack([state[0], s]), np.hstack([state[1], np.broadcast_to(keys, s.shape)])
+    if s.shape[1] <= k:
+        return s, kk
+    edge = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+    keep_s, keep_k = np.full((len(s), k), -np.inf), np.empty((len(s), k), dtype=object)
+    for q in range(len(s)):
+        own = np.flatnonzero((s[q] >= edge[q]) & np.isfinite(s[q]))
+        own = sorted(own, key=lambda c: (-s[q, c], kk[q, c]))[:k]
+        keep_s[q, : len(own)], keep_k[q, : len(own)] = s[q, own], kk[q, own]
+    return keep_s, keep_k
 
 
 def _query_blocks(counts: dict) -> Iterator[list[tuple[object, dict]]]:
@@ -99,7 +120,7 @@ def _query_blocks(counts: dict) -> Iterator[list[tuple[object, dict]]]:
         yield block
 
 
-def _bm25_scan(docs: DataFrame, tokens: Column, block: list[tuple[object, dict]], n: int, avgdl: float, k: int, digits: int, per_word: bool) -> DataFrame:
+def _bm25_scan(docs: DataFrame, tokens: Column, block: list[tuple[object, dict]], n: int, avgdl: float, k: int, kinds: dict[str, tuple[int, bool]]) -> DataFrame:
     vocabulary = {t: i for i, t in enumerate(sorted({t for _, c in block for t in c}))}
     spark = docs.sparkSession
     words = spark.createDataFrame([(t,) for t in vocabulary], "term string")
@@ -111,48 +132,38 @@ def _bm25_scan(docs: DataFrame, tokens: Column, block: list[tuple[object, dict]]
             if term in c:
                 weight[vocabulary[term], q] = idf * c[term]
     names = [qid for qid, _ in block]
-    kinds = dict(docs.dtypes)["key"]
+    key_kind = dict(docs.dtypes)["key"]
     qkind = "string" if isinstance(names[0], str) else "long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_s, best_k = np.full((len(names), 0), -np.inf), np.empty((len(names), 0), dtype=object)
-        get = vocabulary.get
+        best = {kind: (np.full((len(names), 0), -np.inf), np.empty((len(names), 0), dtype=object)) for kind in kinds}
+        terms = pa.array(list(vocabulary))
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
                 keys = np.asarray(part.column(0).to_pylist(), dtype=object)
-                tf = np.zeros((len(keys), len(vocabulary)))
-                dl = np.zeros(len(keys))
-                for r, terms in enumerate(part.column(1).to_pylist()):
-                    dl[r] = len(terms or ())
-                    row = tf[r]
-                    for t in terms or ():
-                        at = get(t)
-                        if at is not None:
-                            row[at] += 1.0
+                lists = part.column(1)
+                # Words become numbers of the vocabulary in one call; the rows they stand in come from the lengths of the lists.
+                at = pc.index_in(lists.flatten(), terms).to_numpy(zero_copy_only=False)
+                dl = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.float64)
+                row = np.repeat(np.arange(len(keys)), dl.astype(np.int64))
+                known = ~np.isnan(at.astype(np.float64))
+                cell = row[known] * len(vocabulary) + at[known].astype(np.int64)
+                tf = np.bincount(cell, minlength=len(keys) * len(vocabulary)).reshape(len(keys), -1).astype(np.float64)
                 d, t = np.nonzero(tf)
                 f = tf[d, t]
                 tf[d, t] = f * (K1 + 1.0) / (f + K1 * (1.0 - B + B * dl[d] / avgdl))
                 s = (tf @ weight).T
-                if per_word:
-                    s = s / np.where(dl == 0, 1.0, dl)
-                s = np.round(s, digits)
-                s[s <= 0] = -np.inf
-                s, kk = np.hstack([best_s, s]), np.hstack([best_k, np.broadcast_to(keys, s.shape)])
-                if s.shape[1] > k:
-                    edge = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
-                    keep_s, keep_k = np.full((len(names), k), -np.inf), np.empty((len(names), k), dtype=object)
-                    for q in range(len(names)):
-                        own = np.flatnonzero((s[q] >= edge[q]) & np.isfinite(s[q]))
-                        own = sorted(own, key=lambda c: (-s[q, c], kk[q, c]))[:k]
-                        keep_s[q, : len(own)], keep_k[q, : len(own)] = s[q, own], kk[q, own]
-                    s, kk = keep_s, keep_k
-                best_s, best_k = s, kk
-        q, c = np.nonzero(np.isfinite(best_s))
-        if len(q):
-            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in q]), pa.array(best_k[q, c].tolist()), pa.array(best_s[q, c])], names=["qid", "key", "score"])
-
-    return docs.select("key", tokens.alias("terms")).mapInArrow(run, f"qid {qkind}, key {kinds}, score double")
+                for kind, (digits, per_word) in kinds.items():
+                    own = np.round(s / np.where(dl == 0, 1.0, dl) if per_word else s, digits)
+                    own[own <= 0] = -np.inf
+                    best[kind] = _best(best[kind], own, keys, k)
+        for kind, (s, kk) in best.items():
+            q, c = np.nonzero(np.isfinite(s))
+            if len(q):
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(q)), pa.array([names[i] for i in q]), pa.array(kk[q, c].tolist()), pa.array(s[q, c])], names=["kind", "qid", "key", "score"])
+
+    return docs.select("key", tokens.alias("terms")).mapInArrow(run, f"kind string, qid {qkind}, key {key_kind}, score double")
 
 
 def top_k(scores: DataFrame, k: int, rank: str | None = None) -> DataFrame:

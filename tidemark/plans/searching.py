@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions import text as T
 from tidemark.operators import catalog, retrieval
@@ -119,10 +120,10 @@ def chunk_vector_topk(spark, d):
 def rrf_fusion(spark, d):
     """BM25 fused with BM25 for the length of the page."""
     asked, docs, tokens = _asked(spark, d), _docs(spark, d), T.words(F.col("text"))
-    a = retrieval.bm25_top_k(asked, docs, tokens, 20)
-    b = retrieval.bm25_top_k(asked, docs, tokens, 20, digits=9, per_word=True)
-    pool = lambda x: retrieval.top_k(x, 20, "r").select("qid", "key", (F.lit(1.0) / (retrieval.RRF_K + F.col("r"))).alias("score"))
-    f = pool(a).unionByName(pool(b)).groupBy("qid", "key").agg(F.round(F.sum("score"), 9).alias("score"))
+    both = retrieval.bm25_scores(asked, docs, tokens, 20, {"whole": (6, False), "per word": (9, True)})
+    r = F.row_number().over(Window.partitionBy("kind", "qid").orderBy(F.desc("score"), "key"))
+    pool = both.withColumn("r", r).filter("r <= 20").withColumn("score", F.lit(1.0) / (retrieval.RRF_K + F.col("r")))
+    f = pool.groupBy("qid", "key").agg(F.round(F.sum("score"), 9).alias("score"))
     return retrieval.top_k(f, 5)
 
 
