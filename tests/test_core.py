@@ -160,6 +160,72 @@ def test_cosine_blocks_ties_and_nulls(spark):
     assert retrieval.cosine_top_k(q.limit(0), v, 4).count() == 0
 
 
+def test_cosine_memory_does_not_grow_with_queries_times_rows(spark):
+    import tracemalloc
+
+    import numpy as np
+
+    class Rows:
+        def filter(self, *a):
+            return self
+
+        select = filter
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    rnd = np.random.default_rng(2)
+    m = rnd.integers(-1, 2, size=(10_000, 6)).astype(float)
+    m[:, 0] += 2 * (m == 0).all(axis=1)
+    keys = rnd.permutation(40_000)[:10_000]
+    unit = retrieval._unit(m)
+    batch = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(list(m), pa.list_(pa.float64()))], names=["key", "vec"])
+    run = retrieval._scan(Rows(), keys[:4_000].tolist(), unit[:4_000], 5, False)
+    tracemalloc.start()
+    try:
+        got = pa.Table.from_batches(run(iter([batch.slice(0, 9_001), batch.slice(9_001)])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 64e6  # the product of all queries and a batch takes 288 MB
+    best = {}
+    for q, key, s in zip(*(got[c].to_pylist() for c in ("qid", "key", "score"))):
+        best.setdefault(q, []).append((-s, key))
+    assert len(best) == 4_000
+    for i in range(0, 4_000, 40):
+        s = np.round(unit @ unit[i], 9)
+        want = sorted((-x, key) for x, key in zip(s.tolist(), keys.tolist()) if key != keys[i])[:5]
+        assert [(round(x, 7), key) for x, key in sorted(best[keys[i]])] == [(round(x, 7), key) for x, key in want]
+
+
+def test_cosine_of_many_equal_vectors_scores_few_of_them(spark, monkeypatch):
+    import numpy as np
+
+    scored = []
+    merge = retrieval._Nearest._merge
+    monkeypatch.setattr(retrieval._Nearest, "_merge", lambda self, q, key, score: (scored.append(len(q)), merge(self, q, key, score)))
+    keys = np.random.default_rng(4).permutation(5_000)
+    best = retrieval._Nearest(np.arange(0, 5_000, 50), np.full((100, 4), 0.5), 5, False)
+    for a in range(0, 5_000, 1_000):
+        best.add(keys[a : a + 1_000], np.full((1_000, 4), 0.5))
+    assert all(best.key[i].tolist() == [x for x in range(6) if x != 50 * i][:5] for i in range(100)) and (best.score == 1).all()
+    assert sum(scored) < 100 * 5_000 / 10
+
+
+def test_chunk_vectors_that_are_null_zero_or_repeated(spark, tmp_path):
+    import duckdb
+
+    from tidemark.plans import searching
+
+    data = [(i, None) for i in (7, 50, 150)] + [(i, [i % 7, 1.0, i % 3]) for i in range(1, 60)] + [(9, [2.0, 1.0, 0.0]), (100, [0.0] * 3), (200, [1.0, 2.0])]
+    spark.createDataFrame([(i, v and [float(x) for x in v]) for i, v in data], "id long, vec array<double>").coalesce(1).write.parquet(str(tmp_path / "rag_chunks.parquet"))
+    query, sql = searching.QUERIES["chunk_vector_topk"]
+    con = duckdb.connect()
+    con.execute(f"create view rag_chunks as select * from read_parquet('{tmp_path}/rag_chunks.parquet/*.parquet')")
+    got = query(spark, str(tmp_path)).collect()
+    assert sorted((r.qid, r.key, r.score) for r in got) == sorted(con.execute(sql).fetchall())
+
+
 def test_rrf_and_evidence(spark):
     a = spark.createDataFrame([("q", 1, 0.9), ("q", 2, 0.8)], "qid string, key long, score double")
     b = spark.createDataFrame([("q", 2, 7.0), ("q", 3, 6.0)], "qid string, key long, score double")

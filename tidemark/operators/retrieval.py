@@ -20,6 +20,7 @@ from tidemark.functions import text as T
 K1, B = 1.5, 0.75
 RRF_K = 60
 QUERY_BLOCK_BYTES = 64 << 20
+QUERY_TILE, ROW_TILE, PAIRS = 512, 2048, 1 << 14
 
 
 # ---- sparse ------------------------------------------------------------------------------------------------------------
@@ -203,8 +204,8 @@ def hashed(docs: DataFrame, dim: int) -> DataFrame:
 def cosine_top_k(queries: DataFrame, rows: DataFrame, k: int, same: bool = False) -> DataFrame:
     """queries (qid, vec), rows (key, vec) -> (qid, key, score): exact cosine, the best k of all rows for each query.
 
-    The query set is collected in blocks of at most QUERY_BLOCK_BYTES and meets every row once, as one matrix product for
-    each Arrow batch. A task keeps its best k for each query; only those candidates are shuffled. Vectors of another
+    The query set is collected in blocks of at most QUERY_BLOCK_BYTES and meets every row once, in matrix products of at most
+    QUERY_TILE queries and ROW_TILE rows. A task keeps its best k for each query; only those candidates are shuffled. Vectors of another
     dimension, null vectors and null keys never match. same: whether a row may answer its own query.
     """
     out = None
@@ -218,13 +219,13 @@ def cosine_top_k(queries: DataFrame, rows: DataFrame, k: int, same: bool = False
 
 def _blocks(queries: DataFrame) -> Iterator[tuple[list[int], np.ndarray]]:
     ids: list[int] = []
-    vecs: list[list[float]] = []
+    vecs: list[np.ndarray] = []
     for qid, vec in queries.filter("qid is not null and vec is not null").select("qid", "vec").toLocalIterator():
         if ids and (len(vec) != len(vecs[0]) or len(ids) * len(vec) * 8 > QUERY_BLOCK_BYTES):
             yield ids, _unit(np.asarray(vecs, dtype=np.float64))
             ids, vecs = [], []
         ids.append(qid)
-        vecs.append(vec)
+        vecs.append(np.asarray(vec, dtype=np.float64))
     if ids:
         yield ids, _unit(np.asarray(vecs, dtype=np.float64))
 
@@ -235,11 +236,11 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def _scan(rows: DataFrame, ids: list[int], matrix: np.ndarray, k: int, same: bool) -> DataFrame:
-    qids = np.asarray(ids, dtype=np.int64)
+    order = np.argsort(np.asarray(ids, dtype=np.int64), kind="stable")
+    qids, matrix = np.asarray(ids, dtype=np.int64)[order], matrix[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_s = np.full((len(qids), 0), -np.inf)
-        best_k = np.zeros((len(qids), 0), dtype=np.int64)
+        best = _Nearest(qids, matrix, k, same)
         for batch in batches:
             vec = batch.column(1)
             keys = batch.column(0).to_numpy(zero_copy_only=False)
@@ -249,24 +250,85 @@ def _scan(rows: DataFrame, ids: list[int], matrix: np.ndarray, k: int, same: boo
                 own = np.flatnonzero(sizes == matrix.shape[1])
                 flat = np.concatenate([vec[int(i)].values.to_numpy(zero_copy_only=False) for i in own]) if len(own) else np.empty(0)
                 keys = keys[own]
-            data = flat.reshape(len(keys), -1).astype(np.float64)
             if not len(keys):
                 continue
-            s = np.round(matrix @ _unit(data).T, 9)
-            if not same:
-                s[qids[:, None] == keys[None, :]] = -np.inf
-            best_s, best_k = np.hstack([best_s, s]), np.hstack([best_k, np.broadcast_to(keys, s.shape)])
-            order = np.lexsort((best_k, -best_s), axis=1)[:, :k]
-            best_s, best_k = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_k, order, 1)
-        q = np.repeat(qids, best_s.shape[1])
-        s, key = best_s.ravel(), best_k.ravel()
-        real = np.isfinite(s)
-        if real.any():
-            yield pa.RecordBatch.from_arrays([pa.array(q[real]), pa.array(key[real]), pa.array(s[real])], names=["qid", "key", "score"])
+            unit = _unit(flat.reshape(len(keys), -1).astype(np.float64))
+            for r in range(0, len(keys), ROW_TILE):
+                best.add(keys[r : r + ROW_TILE], unit[r : r + ROW_TILE])
+        real = np.flatnonzero(np.isfinite(best.score.ravel()))
+        for at in range(0, len(real), 1 << 16):
+            i = real[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(qids[i // k]), pa.array(best.key.ravel()[i]), pa.array(best.score.ravel()[i])], names=["qid", "key", "score"])
 
     return rows.filter("key is not null and vec is not null").select(F.col("key").cast("long"), "vec").mapInArrow(run, "qid long, key long, score double")
 
 
+class _Nearest:
+    """The best k (score, key) of each query over the rows added so far; ties by key. qids must be sorted.
+
+    Products are made in single precision, tile by tile, so memory doesn't grow with queries or rows. Whatever lies within the
+    error of such a product below a query's k-th score so far is scored again in double precision: the result is exact.
+    """
+
+    def __init__(self, qids: np.ndarray, matrix: np.ndarray, k: int, same: bool):
+        self.qids, self.matrix, self.k, self.same = qids, matrix, k, same
+        self.single = matrix.astype(np.float32)
+        self.slack = (matrix.shape[1] + 8) * 2.0**-23  # unit vectors: rounding of both, of their product and of the score to nine digits
+        self.score, self.key = np.full((len(qids), k), -np.inf), np.zeros((len(qids), k), dtype=np.int64)
+        self.floor = np.full(len(qids), -np.inf, dtype=np.float32)
+
+    def add(self, keys: np.ndarray, unit: np.ndarray) -> None:
+        needed = self._needed(keys, unit)
+        keys, unit = keys[needed], unit[needed]
+        n, single = len(keys), np.ascontiguousarray(unit.astype(np.float32).T)
+        products, hits = np.empty((QUERY_TILE, n), dtype=np.float32), np.zeros((QUERY_TILE, n + -n % 8), dtype=bool)
+        first, end = np.searchsorted(self.qids, keys, "left"), np.searchsorted(self.qids, keys, "right")
+        own_r = np.repeat(np.arange(n), 0 if self.same else end - first)
+        own_q = first[own_r] + np.arange(len(own_r)) - np.searchsorted(own_r, own_r)
+        for a in range(0, len(self.qids), QUERY_TILE):
+            some = self.single[a : a + QUERY_TILE]
+            s, hit, floor = products[: len(some)], hits[: len(some)], self.floor[a : a + QUERY_TILE]
+            np.matmul(some, single, out=s)
+            own = (own_q >= a) & (own_q < a + len(some))
+            s[own_q[own] - a, own_r[own]] = np.nan  # neither a hit nor one of the k best below
+            np.greater_equal(s, floor[:, None], out=hit[:, :n])
+            at = _few(hit)
+            if len(at) > 8 * self.k * len(some) and n > self.k:
+                kth = np.partition(np.where(np.isnan(s), -np.inf, s), n - self.k, axis=1)[:, n - self.k]
+                np.greater_equal(s, np.maximum(floor, kth - np.float32(2 * self.slack))[:, None], out=hit[:, :n])
+                at = _few(hit)
+            for c in range(0, len(at), PAIRS):
+                q, r = np.divmod(at[c : c + PAIRS], hit.shape[1])
+                q += a
+                self._merge(q, keys[r], np.round(np.einsum("ij,ij->i", self.matrix[q], unit[r]), 9))
+
+    def _needed(self, keys: np.ndarray, unit: np.ndarray) -> np.ndarray:
+        """Of rows with equal vectors those of the k smallest keys, and all that are queries, as they don't answer themselves."""
+        _, vector = np.unique(np.ascontiguousarray(unit).view(np.dtype((np.void, unit.itemsize * unit.shape[1]))).ravel(), return_inverse=True)
+        asked = np.isin(keys, self.qids)
+        order = np.lexsort((keys, asked, vector))
+        vector = vector[order]
+        return np.sort(order[asked[order] | (np.arange(len(keys)) - np.searchsorted(vector, vector) < self.k)])
+
+    def _merge(self, q: np.ndarray, key: np.ndarray, score: np.ndarray) -> None:
+        k, old = self.k, np.unique(q)
+        q = np.concatenate([np.repeat(old, k), q])
+        key, score = np.concatenate([self.key[old].ravel(), key]), np.concatenate([self.score[old].ravel(), score])
+        order = np.lexsort((key, -score, q))
+        q = q[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        best = rank < k
+        self.score[q[best], rank[best]], self.key[q[best], rank[best]] = score[order][best], key[order][best]
+        self.floor[old] = self.score[old, k - 1] - self.slack
+
+
+def _few(hit: np.ndarray) -> np.ndarray:
+    """np.flatnonzero where little is true: eight flags at a time. The rows must be multiples of eight."""
+    some = np.flatnonzero(hit.view(np.uint64).ravel() != 0)
+    at, flag = np.nonzero(hit.reshape(-1, 8)[some])
+    return some[at] * 8 + flag
+
+
 def maintain(old: DataFrame, gone: DataFrame, fresh: DataFrame) -> DataFrame:
     """Postings without the documents of gone (key) and with those of fresh (key, text): what is unchanged is neither read nor counted
     again."""

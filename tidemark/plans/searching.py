@@ -93,8 +93,8 @@ def embedding_label_purity(spark, d):
 
 
 def _chunk_hits(spark, d):
-    """Stored chunk vectors: the nearest chunks of every chunk whose id is divisible by 50."""
-    c = table(spark, d, "rag_chunks").select(F.col("id").alias("key"), F.col("vec")).dropDuplicates(["key"])
+    """Stored chunk vectors: the nearest chunks of every chunk whose id is divisible by 50. Vectors of zeros have no direction and are left out."""
+    c = table(spark, d, "rag_chunks").select(F.col("id").alias("key"), F.col("vec")).filter(F.exists("vec", lambda x: x != 0)).dropDuplicates(["key"])
     return retrieval.cosine_top_k(c.filter("key % 50 = 0").select(F.col("key").alias("qid"), "vec"), c, 5)
 
 
